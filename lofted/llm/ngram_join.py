@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -248,34 +248,27 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each posting, (group, the posting's pivot, shared shingles, size of the group)."""
-    from .shingles import mix
-
-    for b in batches:
-        lists, sizes = b.column("gids"), b.column("nps")
-        gid = lists.flatten().to_numpy(zero_copy_only=False)
-        n = sizes.flatten().to_numpy(zero_copy_only=False) >> 32
-        if not len(gid):
-            continue
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        many = np.diff(offsets)
-        order = mix(gid.view(np.uint64))
+    """Of each posting, (group, the posting's pivot, size of the group, shared
+    shingles).  Rows sorted by key and salt: key, salt, gid, np, weight.  The pivot
+    is the group of greatest weight: the one whose prefix is most shared, so the
+    original among edited copies."""
+    for (_, _, gid, size, weight), edges in _groups(batches, 5):
+        many = np.diff(edges)
         run = np.repeat(np.arange(len(many)), many)
-        by = np.lexsort((order, run))
-        head = by[offsets[:-1][many > 0]]
-        pivot = np.repeat(gid[head], many[many > 0])
-        size = np.repeat(n[head], many[many > 0])
-        fits = (gid != pivot) & (NUMERATOR * np.maximum(n, size) <= DENOMINATOR * np.minimum(n, size))
+        head = np.lexsort((gid, -weight, run))[edges[:-1]]
+        n = size >> 32
+        pivot, other = np.repeat(gid[head], many), np.repeat(n[head], many)
+        fits = (gid != pivot) & (NUMERATOR * np.maximum(n, other) <= DENOMINATOR * np.minimum(n, other))
         if fits.any():
             pairs, count = np.unique(np.stack([gid[fits], pivot[fits], n[fits]], axis=1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)), pa.array(count)], ["x", "p", "n", "c"])
 
 
 def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of groups (gid, size, place, least and greatest component) of one
-    posting, or of two of one shingle, that are not yet known to be linked and
-    that size and place allow: ids and sizes."""
-    gid, n, pos, low, high = a
+    """Pairs of groups (gid, size, place, shared shingles before that place, least
+    and greatest component) of one posting, or of two of one shingle, that are not
+    yet known to be linked and that size and place allow: ids and sizes."""
+    gid, n, pos, before, low, high = a
     whole = low == high
     names, count = np.unique(low[whole], return_counts=True) if whole.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     most = names[count.argmax()] if len(names) else None
@@ -285,11 +278,11 @@ def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> tuple
     for left, other in rounds:
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
-            g2, n2, p2, l2, h2 = other
+            g2, n2, p2, b2, l2, h2 = other
             x, y = np.maximum(n[i, None], n2), np.minimum(n[i, None], n2)
             ok = (NUMERATOR * x <= DENOMINATOR * y) & (gid[i, None] != g2)
             same = whole[i, None] & (l2 == h2) & (low[i, None] == l2)
-            reach = np.minimum(pos[i, None], p2) + np.minimum(n[i, None] - pos[i, None], n2 - p2)
+            reach = np.minimum(before[i, None], b2) + np.minimum(n[i, None] - pos[i, None], n2 - p2)
             ok &= ~same & (reach >= pair_overlap(n[i, None], n2))
             if b is None:  # a pair of two minor groups once
                 second = np.zeros(len(gid), bool)
@@ -311,18 +304,20 @@ def _counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)), pa.array(count)], ["a", "b", "na", "nb", "c"])
 
 
+_LISTS = ("gids", "nps", "befores", "lows", "highs")
 _PAIR = "a long, b long, na long, nb long, c long"
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of groups in the same posting that may link across components; rows
-    sorted by key and salt: key, salt, gid, np, least and greatest component."""
-    for (key, salt, gid, size, low, high), edges in _groups(batches, 6):
+    sorted by key and salt: key, salt, gid, np, shared shingles before, least and
+    greatest component."""
+    for (key, salt, gid, size, before, low, high), edges in _groups(batches, 7):
         least, most = np.minimum.reduceat(low, edges[:-1]), np.maximum.reduceat(high, edges[:-1])
         found, held = [], 0
         for r in np.flatnonzero((least != most) & (np.diff(edges) > 1)):
             s = slice(edges[r], edges[r + 1])
-            found.append(_cross((gid[s], size[s] >> 32, size[s] & 0xFFFFFFFF, low[s], high[s]), None))
+            found.append(_cross((gid[s], size[s] >> 32, size[s] & 0xFFFFFFFF, before[s], low[s], high[s]), None))
             held += len(found[-1][0])
             if held > 200_000:
                 if (made := _counted(found)) is not None:
@@ -339,8 +334,8 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(b.num_rows):
             sides = []
             for side in ("1", "2"):
-                gid, size, low, high = (b.column(c + side)[r].values.to_numpy(zero_copy_only=False) for c in ("gids", "nps", "lows", "highs"))
-                sides.append((gid, size >> 32, size & 0xFFFFFFFF, low, high))
+                gid, size, before, low, high = (b.column(c + side)[r].values.to_numpy(zero_copy_only=False) for c in _LISTS)
+                sides.append((gid, size >> 32, size & 0xFFFFFFFF, before, low, high))
             found.append(_cross(sides[0], sides[1]))
         if (made := _counted(found)) is not None:
             yield made
@@ -370,6 +365,7 @@ class _Join:
         rows = self.scratch.save(sorted_rows.mapInArrow(_collapse, "kind int, key long, salt long, gids array<long>, nps array<long>, k long, doc_id long"), "rows", "kind")
         self.release()
         self.postings = rows.where("kind = 0").select("key", "salt", "gids", "nps")
+        self.entries = self.scratch.save(self.shared_entries(), "entries")
         members = rows.where("kind = 1").select("doc_id", "k", F.col("key").alias("sig"), F.col("gids")[0].alias("gid"), F.shiftright(F.col("nps")[0], 32).alias("n"))
         # one row per distinct set
         self.sets = self.scratch.save(members.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("doc_id"), F.min("k").alias("k")), "sets")
@@ -386,14 +382,25 @@ class _Join:
         out = members.join(labels, "sig", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sig")
 
+    def shared_entries(self) -> DataFrame:
+        """Entries of postings with two groups or more: key, salt, gid, np, `before`
+        (the group's entries of lesser place; its other prefix shingles are in no
+        other prefix) and `weight` (mean size of the postings of its prefix)."""
+        flat = self.postings.select("key", "salt", F.size("gids").alias("m"), F.explode(F.arrays_zip("gids", "nps")).alias("e")).select("key", "salt", "m", F.col("e.gids").alias("gid"), F.col("e.nps").alias("np"))
+        own, n = Window.partitionBy("gid"), F.shiftright("np", 32)
+        prefix = n - F.ceil(NUMERATOR * n / DENOMINATOR) + 1
+        placed = flat.withColumn("before", F.row_number().over(own.orderBy("np", "key")).cast("long") - 1).withColumn("weight", F.sum("m").over(own) / prefix)
+        return placed.drop("m")
+
     def first_pairs(self, leads: DataFrame) -> DataFrame:
         """Member pairs to try first: each group's members against the leads of the
         two pivots it shares most shingles with, and members against their lead."""
-        own = self.postings.select("gids", "nps").mapInArrow(_pivots, "x long, p long, n long, c long")
-        # postings that a common shingle was dealt to meet in the least of their pivots
-        hot = self.postings.where("(salt & 4294967295) > 1").select("key", F.array_sort(F.transform("gids", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))[0].alias("top"))
-        top = hot.groupBy("key").agg(F.min("top").alias("least"))
-        across = hot.join(top, "key").where("top.g <> least.g").select(F.col("top.g").alias("x"), F.col("least.g").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("c"))
+        by_posting = self.entries.select("key", "salt", "gid", "np", "weight").repartition("key", "salt").sortWithinPartitions("key", "salt")
+        own = by_posting.mapInArrow(_pivots, "x long, p long, n long, c long")
+        # postings that a common shingle was dealt to meet in the best of their pivots
+        hot = self.entries.where("(salt & 4294967295) > 1").groupBy("key", "salt").agg(F.max(F.struct("weight", F.bitwise_not("gid").alias("g"))).alias("top"))
+        best = hot.groupBy("key").agg(F.max("top").alias("best"))
+        across = hot.join(best, "key").where("top.g <> best.g").select(F.bitwise_not("top.g").alias("x"), F.bitwise_not("best.g").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("c"))
         counted = own.unionAll(across).groupBy("x", "p").agg(F.sum("c").alias("c"), F.max("n").alias("n")).where("c >= 0.06 * n")
         best = counted.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "p")), False), 1, 2).alias("best"))
         group_pairs = best.select("x", F.explode("best").alias("b")).select("x", F.col("b.p").alias("p"))
@@ -407,17 +414,16 @@ class _Join:
         members of several): a, b."""
         named = self.sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("gid", F.coalesce("comp", "sig").alias("comp"))
         group = self.scratch.save(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "groups")
-        flat = self.postings.select("key", "salt", F.explode(F.arrays_zip("gids", "nps")).alias("e")).select("key", "salt", F.col("e.gids").alias("gid"), F.col("e.nps").alias("np"))
-        entries = flat.join(group, "gid").select("key", "salt", "gid", "np", "low", "high")
+        entries = self.entries.join(group, "gid").select("key", "salt", "gid", "np", "before", "low", "high")
         by_posting = entries.repartition("key", "salt").sortWithinPartitions("key", "salt")
         found = by_posting.mapInArrow(_within, _PAIR)
         dealt = entries.where("(salt & 4294967295) > 1")
         if not self.postings.where("(salt & 4294967295) > 1").isEmpty():
             mixed = dealt.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("key")
-            lists = [F.transform("e", lambda x, c=c: x[c]).alias(c + "s") for c in ("gid", "np", "low", "high")]
-            chunks = dealt.join(mixed, "key").groupBy("key", "salt").agg(F.collect_list(F.struct("gid", "np", "low", "high")).alias("e")).select("key", "salt", *lists)
+            lists = [F.col("e." + c[:-1]).alias(c) for c in _LISTS]
+            chunks = dealt.join(mixed, "key").groupBy("key", "salt").agg(F.collect_list(F.struct("gid", "np", "before", "low", "high")).alias("e")).select("key", "salt", *lists)
             chunks = self.scratch.save(chunks, "chunks")
-            one, two = (chunks.select("key", *[F.col(c).alias(c + s) for c in ("salt", "gids", "nps", "lows", "highs")]) for s in ("1", "2"))
+            one, two = (chunks.select("key", *[F.col(c).alias(c + s) for c in ("salt", *_LISTS)]) for s in ("1", "2"))
             found = found.unionAll(one.join(two, "key").where("salt1 < salt2").drop("key", "salt1", "salt2").mapInArrow(_between, _PAIR))
         o = NUMERATOR + DENOMINATOR
         need = F.ceil(NUMERATOR * (F.col("na") + F.col("nb")) / o) - F.greatest(F.ceil(NUMERATOR * F.col("na") / DENOMINATOR), F.ceil(NUMERATOR * F.col("nb") / DENOMINATOR)) + 1
@@ -442,7 +448,7 @@ class _Join:
             n = rest.count()
             if not n:
                 return comps
-            if n <= max(10_000, size // 4):
+            if n <= max(10_000, size):  # no more than a pair for each set
                 batch, last = rest.select("a", "b"), True
             else:  # for each member the pair with most shared shingles; the others wait
                 best = rest.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
