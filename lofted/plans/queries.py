@@ -336,14 +336,14 @@ def normal_cdf(spark, sf):
 def simulate_flight(spark, sf):
     from . import sim
 
-    return sim.ensemble(spark, 200, 7, sim.Config(), sim.Settings(step_s=1.0))
+    return sim.ensemble(spark, 100, 7, sim.Config(), sim.Settings(step_s=0.5))
 
 
 @query()
 def landing_footprint(spark, sf):
     from . import sim
 
-    e = sim.ensemble(spark, 200, 7, sim.Config(), sim.Settings(step_s=1.0)).where("status = 'OK'")
+    e = sim.ensemble(spark, 100, 7, sim.Config(), sim.Settings(step_s=0.5)).where("status = 'OK'")
     return el.fit(e.select(F.lit(1).alias("run_id"), "lat", "lon"), ["run_id"])
 
 
@@ -351,5 +351,5 @@ def landing_footprint(spark, sf):
 def filter_bank(spark, sf):
     from . import bank, sim
 
-    log = sim.synthetic_log(spark, sim.Config(), sim.Settings(step_s=1.0), seed=5, every=20)
-    return bank.run(log, sim.Config(), sim.Settings(step_s=2.0), filters=4, particles=25)
+    log = sim.synthetic_log(spark, sim.Config(), sim.Settings(step_s=0.5), seed=5, every=120)
+    return bank.run(log, sim.Config(), sim.Settings(step_s=0.5), filters=4, particles=25)
