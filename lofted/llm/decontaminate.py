@@ -144,7 +144,7 @@ def _passes(items: DataFrame) -> list[list[tuple]]:
 
 def rare(docs: DataFrame, items: Items, share: float = RARE_SHARE) -> Items:
     """The items with seeds that few documents hold, counted over all documents:
-    at most `share` of them, or among the rarer half of the item's own."""
+    at most `share` of them, or among the rarer half of the item's own that occur."""
     sent = docs.sparkSession.sparkContext.broadcast(_Lookup(items))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +164,9 @@ def rare(docs: DataFrame, items: Items, share: float = RARE_SHARE) -> Items:
     df = np.array([found.get(int(k), 0) for k in np.searchsorted(np.unique(items.seeds), items.seeds)], np.int64)
     keep = df <= share * found.get(-1, 0)
     for k in range(len(items.ids)):
-        own = np.flatnonzero(items.item == k)
-        keep[own] |= df[own] <= np.median(df[own])
+        own = np.flatnonzero((items.item == k) & (df > 0))  # seeds in no document find nothing
+        if len(own):
+            keep[own] |= df[own] <= np.median(df[own])
     return items.choose(keep)
 
 
