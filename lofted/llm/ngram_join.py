@@ -430,14 +430,25 @@ class _Join:
         counted = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") >= need)
         return self.scratch.save(counted.select("a", "b", "c"), "pairs")
 
+    def inside_pairs(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Member pairs of one group (gid, sig) from different components.  Only
+        members outside the group's largest component look for partners, so a group
+        that its lead has joined makes none."""
+        named = members.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").select("gid", "sig", F.coalesce("comp", "sig").alias("comp"))
+        sizes = named.groupBy("gid", "comp").agg(F.count("*").alias("m"))
+        most = sizes.groupBy("gid").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        told = self.scratch.save(named.join(most, "gid").select("gid", "sig", "comp", (F.col("comp") != F.col("most")).alias("minor")), "inside")
+        left = told.where("minor").select("gid", F.col("sig").alias("a"), F.col("comp").alias("ca"))
+        right = told.select("gid", F.col("sig").alias("b"), F.col("comp").alias("cb"), "minor")
+        return left.join(right, "gid").where("ca <> cb and (not minor or a < b)").select("a", "b", F.lit(1 << 30).cast("long").alias("c"))
+
     def finish(self, pairs: DataFrame, leads: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
         """Expands the pairs of groups to members and verifies until every pair is
         verified or joined otherwise; the components."""
         member = self.sets.select("gid", "sig")
         left, right = member.select(F.col("gid").alias("a"), F.col("sig").alias("x")), member.select(F.col("gid").alias("b"), F.col("sig").alias("y"))
         two = pairs.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
-        split = member.join(leads.where("members > 2").select("gid"), "gid")
-        same = split.select("gid", F.col("sig").alias("a")).join(split.select("gid", F.col("sig").alias("b")), "gid").where("a < b").select("a", "b", F.lit(1 << 30).cast("long").alias("c"))
+        same = self.inside_pairs(member.join(leads.where("members > 2").select("gid"), "gid"), comps)
         rest = self.scratch.save(two.unionAll(same), "rest0")
         size = self.sets.count()
         while True:
