@@ -4,8 +4,8 @@ A document is the set of its distinct 5-word shingles, ordered by how common
 they are.  Documents that are similar enough share a shingle among their first
 few (the prefix).  Documents of one set are one member; members of one prefix
 and size are one group.  Groups meet in the postings of their prefix shingles;
-pairs of groups are filtered by size, by place in the prefix and by the number
-of shared prefix shingles, then expanded to members, which are verified on
+pairs of groups are filtered by size, by place in the prefix, by sketches of the
+prefixes and by the number of shared prefix shingles, then expanded to members, which are verified on
 their whole texts.
 
 No bucket gives all its pairs.  Each group is first tried against the pivots it
@@ -37,6 +37,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNTER_BITS = (16, 24)
 #: Groups in a posting above which its shingle is dealt to several.
 POSTING = 1024
+#: Bits of a prefix's sketch, in words of 64.
+SKETCH = 512
 _BLOCKS = 64
 
 
@@ -55,6 +57,11 @@ def pair_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
+def prefix_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Prefix shingles that sets of a and b must share to link."""
+    return pair_overlap(a, b) - np.maximum(least_overlap(a), least_overlap(b)) + 1
+
+
 def _levels(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How common each counter's shingles are (twice the log2 of the count above
     the counters' mean), over all documents, and log2 of the counters.
@@ -264,34 +271,47 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)), pa.array(count)], ["x", "p", "n", "c"])
 
 
-def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _may_share(need: np.ndarray, sides: tuple[np.ndarray, np.ndarray], words: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """Whether two prefixes can share `need` shingles, from how many shared
+    shingles each has and the parities of their sketches: what only one of them
+    has leaves at least as many shingles as odd bits."""
+    odd = np.zeros(len(need), np.int64)
+    for x, y in zip(*words):
+        odd += np.bitwise_count((x ^ y).view(np.uint64))
+    return sides[0] + sides[1] - odd >= 2 * need
+
+
+def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of groups (gid, size, place, shared shingles before that place, least
-    and greatest component) of one posting, or of two of one shingle, that are not
-    yet known to be linked and that size and place allow: ids and sizes."""
-    gid, n, pos, before, low, high = a
+    and greatest component, shared shingles, sketch) of one posting, or of two of
+    one shingle, that are not yet known to be linked and that size, place and
+    sketch allow: ids and sizes, some at a time."""
+    gid, n, pos, before, low, high, shared, *sketch = a
     whole = low == high
     names, count = np.unique(low[whole], return_counts=True) if whole.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     most = names[count.argmax()] if len(names) else None
     minor = np.flatnonzero(~whole | (low != most)) if most is not None else np.arange(len(gid))
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    rounds = [(minor, a)] if b is None else [(np.arange(len(gid)), b)]
-    for left, other in rounds:
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            g2, n2, p2, b2, l2, h2 = other
-            x, y = np.maximum(n[i, None], n2), np.minimum(n[i, None], n2)
-            ok = (NUMERATOR * x <= DENOMINATOR * y) & (gid[i, None] != g2)
-            same = whole[i, None] & (l2 == h2) & (low[i, None] == l2)
-            reach = np.minimum(before[i, None], b2) + np.minimum(n[i, None] - pos[i, None], n2 - p2)
-            ok &= ~same & (reach >= pair_overlap(n[i, None], n2))
-            if b is None:  # a pair of two minor groups once
-                second = np.zeros(len(gid), bool)
-                second[minor] = True
-                ok &= ~second[None] | (np.arange(len(gid))[None] > i[:, None])
-            u, v = np.nonzero(ok)
-            for o, c in zip(out, (gid[i][u], g2[v], n[i][u], n2[v])):
-                o.append(c)
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)  # type: ignore[return-value]
+    second = np.zeros(len(gid), bool)
+    second[minor] = True
+    left, other = (minor, a) if b is None else (np.arange(len(gid)), b)
+    g2, n2, p2, b2, l2, h2, s2, *k2 = other
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        x, y = np.maximum(n[i, None], n2), np.minimum(n[i, None], n2)
+        ok = (NUMERATOR * x <= DENOMINATOR * y) & (gid[i, None] != g2)
+        same = whole[i, None] & (l2 == h2) & (low[i, None] == l2)
+        reach = np.minimum(before[i, None], b2) + np.minimum(n[i, None] - pos[i, None], n2 - p2)
+        ok &= ~same & (reach >= pair_overlap(n[i, None], n2))
+        if b is None:  # a pair of two minor groups once
+            ok &= ~second[None] | (np.arange(len(gid))[None] > i[:, None])
+        u, v = np.nonzero(ok)
+        for cut in range(0, len(u), 1 << 16):
+            p, r = i[u[cut : cut + (1 << 16)]], v[cut : cut + (1 << 16)]
+            need = prefix_overlap(n[p], n2[r])
+            keep = _may_share(need, (shared[p], s2[r]), ([w[p] for w in sketch], [w[r] for w in k2]))
+            if keep.any():
+                p, r = p[keep], r[keep]
+                yield gid[p], g2[r], n[p], n2[r]
 
 
 def _counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
@@ -304,41 +324,52 @@ def _counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)), pa.array(count)], ["a", "b", "na", "nb", "c"])
 
 
-_LISTS = ("gids", "nps", "befores", "lows", "highs")
+_WORDS = tuple(f"w{i}" for i in range(SKETCH // 64))
+_LISTS = ("gids", "nps", "befores", "lows", "highs", "shareds", *(w + "s" for w in _WORDS))
 _PAIR = "a long, b long, na long, nb long, c long"
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups in the same posting that may link across components; rows
-    sorted by key and salt: key, salt, gid, np, shared shingles before, least and
-    greatest component."""
-    for (key, salt, gid, size, before, low, high), edges in _groups(batches, 7):
-        least, most = np.minimum.reduceat(low, edges[:-1]), np.maximum.reduceat(high, edges[:-1])
-        found, held = [], 0
-        for r in np.flatnonzero((least != most) & (np.diff(edges) > 1)):
-            s = slice(edges[r], edges[r + 1])
-            found.append(_cross((gid[s], size[s] >> 32, size[s] & 0xFFFFFFFF, before[s], low[s], high[s]), None))
-            held += len(found[-1][0])
+def _side(gid: np.ndarray, size: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    return gid, size >> 32, size & 0xFFFFFFFF, *more
+
+
+def _pairs(runs: Iterator[Iterator[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """The pairs that `_cross` gives for each of `runs`, counted some at a time."""
+    found, held = [], 0
+    for run in runs:
+        for part in run:
+            found.append(part)
+            held += len(part[0])
             if held > 200_000:
-                if (made := _counted(found)) is not None:
-                    yield made
+                yield _counted(found)
                 found, held = [], 0
-        if (made := _counted(found)) is not None:
-            yield made
+    if found:
+        yield _counted(found)
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups in the same posting that may link across components; rows
+    sorted by key and salt: key, salt, gid, np, then as `_cross` has them."""
+
+    def runs() -> Iterator[Iterator[tuple[np.ndarray, ...]]]:
+        for (_, _, *cols), edges in _groups(batches, 2 + len(_LISTS)):
+            least, most = np.minimum.reduceat(cols[3], edges[:-1]), np.maximum.reduceat(cols[4], edges[:-1])
+            for r in np.flatnonzero((least != most) & (np.diff(edges) > 1)):
+                yield _cross(_side(*(c[edges[r] : edges[r + 1]] for c in cols)), None)
+
+    return _pairs(runs())
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As `_within`, for rows of two postings of one dealt-out shingle."""
-    for b in batches:
-        found = []
-        for r in range(b.num_rows):
-            sides = []
-            for side in ("1", "2"):
-                gid, size, before, low, high = (b.column(c + side)[r].values.to_numpy(zero_copy_only=False) for c in _LISTS)
-                sides.append((gid, size >> 32, size & 0xFFFFFFFF, before, low, high))
-            found.append(_cross(sides[0], sides[1]))
-        if (made := _counted(found)) is not None:
-            yield made
+
+    def runs() -> Iterator[Iterator[tuple[np.ndarray, ...]]]:
+        for b in batches:
+            for r in range(b.num_rows):
+                one, two = (_side(*(b.column(c + side)[r].values.to_numpy(zero_copy_only=False) for c in _LISTS)) for side in ("1", "2"))
+                yield _cross(one, two)
+
+    return _pairs(runs())
 
 
 class _Join:
@@ -414,14 +445,24 @@ class _Join:
         members of several): a, b."""
         named = self.sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("gid", F.coalesce("comp", "sig").alias("comp"))
         group = self.scratch.save(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "groups")
-        entries = self.entries.join(group, "gid").select("key", "salt", "gid", "np", "before", "low", "high")
-        by_posting = entries.repartition("key", "salt").sortWithinPartitions("key", "salt")
+        placed = self.entries.join(group, "gid").select("key", "salt", "gid", "np", "before", "low", "high")
+        # postings whose groups are all in one component make no pairs
+        own = Window.partitionBy("key", "salt")
+        apart = F.min("low").over(own) != F.max("high").over(own)
+        mixed = placed.repartition("key", "salt").withColumn("apart", apart).where("apart or (salt & 4294967295) > 1")
+        mixed = self.scratch.save(mixed, "mixed")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(63).cast("int"))
+        word = F.shiftright("key", 6).bitwiseAND(len(_WORDS) - 1)
+        sketch = self.entries.groupBy("gid").agg(F.count("*").alias("shared"), *[F.bit_xor(F.when(word == i, bit).otherwise(0)).alias(w) for i, w in enumerate(_WORDS)])
+        sketch = sketch.join(mixed.select("gid").distinct(), "gid", "left_semi")
+        entries = mixed.join(sketch, "gid").select("key", "salt", "gid", "np", "before", "low", "high", "shared", *_WORDS, "apart")
+        by_posting = entries.where("apart").drop("apart").repartition("key", "salt").sortWithinPartitions("key", "salt")
         found = by_posting.mapInArrow(_within, _PAIR)
         dealt = entries.where("(salt & 4294967295) > 1")
         if not self.postings.where("(salt & 4294967295) > 1").isEmpty():
-            mixed = dealt.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("key")
+            several = dealt.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("key")
             lists = [F.col("e." + c[:-1]).alias(c) for c in _LISTS]
-            chunks = dealt.join(mixed, "key").groupBy("key", "salt").agg(F.collect_list(F.struct("gid", "np", "before", "low", "high")).alias("e")).select("key", "salt", *lists)
+            chunks = dealt.join(several, "key").groupBy("key", "salt").agg(F.collect_list(F.struct(*[c[:-1] for c in _LISTS])).alias("e")).select("key", "salt", *lists)
             chunks = self.scratch.save(chunks, "chunks")
             one, two = (chunks.select("key", *[F.col(c).alias(c + s) for c in ("salt", *_LISTS)]) for s in ("1", "2"))
             found = found.unionAll(one.join(two, "key").where("salt1 < salt2").drop("key", "salt1", "salt2").mapInArrow(_between, _PAIR))
