@@ -4,8 +4,8 @@ A document is the set of its distinct 5-word shingles, ordered by how common
 they are.  Documents that are similar enough share a shingle among their first
 few (the prefix).  Documents of one set are one member; members of one prefix
 and size are one group.  Groups meet in the postings of their prefix shingles;
-pairs of groups are filtered by size, by place in the prefix, by sketches of the
-prefixes and by the number of shared prefix shingles, then expanded to members, which are verified on
+pairs of groups are filtered by size, by place in the prefix and, by sketches of
+the prefixes, by the number of shared prefix shingles, then expanded to members, which are verified on
 their whole texts.
 
 No bucket gives all its pairs.  Each group is first tried against the pivots it
@@ -285,7 +285,8 @@ def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> Itera
     """Pairs of groups (gid, size, place, shared shingles before that place, least
     and greatest component, shared shingles, sketch) of one posting, or of two of
     one shingle, that are not yet known to be linked and that size, place and
-    sketch allow: ids and sizes, some at a time."""
+    sketch allow: ids and sizes, some at a time.  A pair is left out where the
+    shingle cannot be the first that both have, so most pairs are made once."""
     gid, n, pos, before, low, high, shared, *sketch = a
     whole = low == high
     names, count = np.unique(low[whole], return_counts=True) if whole.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -308,6 +309,9 @@ def _cross(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None) -> Itera
         for cut in range(0, len(u), 1 << 16):
             p, r = i[u[cut : cut + (1 << 16)]], v[cut : cut + (1 << 16)]
             need = prefix_overlap(n[p], n2[r])
+            # from the first shingle that both have, as many are left in either prefix
+            keep = np.minimum(shared[p] - before[p], s2[r] - b2[r]) >= need
+            p, r, need = p[keep], r[keep], need[keep]
             keep = _may_share(need, (shared[p], s2[r]), ([w[p] for w in sketch], [w[r] for w in k2]))
             if keep.any():
                 p, r = p[keep], r[keep]
@@ -466,9 +470,7 @@ class _Join:
             chunks = self.scratch.save(chunks, "chunks")
             one, two = (chunks.select("key", *[F.col(c).alias(c + s) for c in ("salt", *_LISTS)]) for s in ("1", "2"))
             found = found.unionAll(one.join(two, "key").where("salt1 < salt2").drop("key", "salt1", "salt2").mapInArrow(_between, _PAIR))
-        o = NUMERATOR + DENOMINATOR
-        need = F.ceil(NUMERATOR * (F.col("na") + F.col("nb")) / o) - F.greatest(F.ceil(NUMERATOR * F.col("na") / DENOMINATOR), F.ceil(NUMERATOR * F.col("nb") / DENOMINATOR)) + 1
-        counted = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") >= need)
+        counted = found.groupBy("a", "b").agg(F.sum("c").alias("c"))
         return self.scratch.save(counted.select("a", "b", "c"), "pairs")
 
     def inside_pairs(self, members: DataFrame, comps: DataFrame) -> DataFrame:
