@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ MIN_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a hit, as a share of the score of the item's own text.
 MIN_SCORE = 0.35
+#: Pairs of words that are compared at once for the bounds of a score.
+PAIRS = 1 << 20
 #: Items, and bytes of their texts, that are looked for in one pass over the documents.
 PASS_ITEMS, PASS_BYTES = 20_000, 16 << 20
 
@@ -54,16 +56,14 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 @dataclass(frozen=True)
 class Items:
     """Test items of one pass: their words, and seeds sorted by hash with the
-    item and the place of each."""
+    item and the place of each, and whether it is rare."""
 
     ids: tuple
     words: tuple[np.ndarray, ...]
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
-
-    def choose(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep])
+    rare: np.ndarray
 
 
 def prepare(rows: list[tuple]) -> Items:
@@ -80,7 +80,7 @@ def prepare(rows: list[tuple]) -> Items:
         words.append(own)
     s, i, p = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
     order = np.argsort(s, kind="stable")
-    return Items(tuple(ids), tuple(words), s[order], i[order], p[order])
+    return Items(tuple(ids), tuple(words), s[order], i[order], p[order], np.ones(len(s), bool))
 
 
 class _Lookup:
@@ -103,9 +103,28 @@ class _Lookup:
         return at[hit], which[hit]
 
 
+def _in_common(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of either sequence stand in the other."""
+    if len(item) * len(words) > PAIRS:
+        return np.isin(item, words), np.isin(words, item)
+    equal = item[:, None] == words
+    return equal.any(axis=1), equal.any(axis=0)
+
+
+def _bound(common: np.ndarray) -> int:
+    """No local score is greater: the best stretch, with MATCH for each word in
+    common and, as any other in it costs as much at least, MISMATCH for the rest."""
+    sums = np.concatenate(([0], np.cumsum(np.where(common, MATCH, max(MISMATCH, GAP)))))
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
 def align(words: np.ndarray, lookup: _Lookup) -> list[tuple[int, float, int, int]]:
     """(item, share of its score, first word, end) of each item seeded in a text
-    and found with MIN_SCORE, at its best place."""
+    and found with MIN_SCORE, at its best place.
+
+    Stretches with a rare seed are aligned where they have words enough in
+    common; those of common seeds only where no bound rules the score out.
+    """
     at, which = lookup.find(ngrams(words, SEED_WORDS))
     if not len(at):
         return []
@@ -115,7 +134,7 @@ def align(words: np.ndarray, lookup: _Lookup) -> list[tuple[int, float, int, int
     rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
     item, offset = items.item[rows], np.repeat(at, many) - items.place[rows]
     order = np.lexsort((offset, item))
-    item, offset = item[order], offset[order]
+    item, offset, is_rare = item[order], offset[order], items.rare[rows][order]
     found: dict[int, tuple[int, float, int, int]] = {}
     size = np.array([len(w) for w in items.words])[item]
     edges = np.flatnonzero((np.diff(item) != 0) | (np.diff(offset) > size[1:])) + 1
@@ -125,7 +144,10 @@ def align(words: np.ndarray, lookup: _Lookup) -> list[tuple[int, float, int, int
         first = max(0, int(offset[own[0]]) - m // 2)
         end = min(len(words), int(offset[own[-1]]) + m + m // 2)
         # words in common bound the score
-        if np.isin(items.words[k], words[first:end]).sum() < MIN_SCORE * m:
+        ours, theirs = _in_common(items.words[k], words[first:end])
+        if ours.sum() < MIN_SCORE * m:
+            continue
+        if not is_rare[own].any() and min(_bound(ours), _bound(theirs)) < MIN_SCORE * MATCH * m:
             continue
         score, a, b = smith_waterman(items.words[k], words[first:end])
         share = score / (MATCH * m)
@@ -143,8 +165,9 @@ def _passes(items: DataFrame) -> list[list[tuple]]:
 
 
 def rare(docs: DataFrame, items: Items, share: float = RARE_SHARE) -> Items:
-    """The items with seeds that few documents hold, counted over all documents:
-    at most `share` of them, or among the rarer half of the item's own that occur."""
+    """The items with the seeds marked that few documents hold, counted over all
+    documents: at most `share` of them, or among the rarer half of the item's own
+    that occur.  The common ones stay, as a copy may have no others left."""
     sent = docs.sparkSession.sparkContext.broadcast(_Lookup(items))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +190,7 @@ def rare(docs: DataFrame, items: Items, share: float = RARE_SHARE) -> Items:
         own = np.flatnonzero((items.item == k) & (df > 0))  # seeds in no document find nothing
         if len(own):
             keep[own] |= df[own] <= np.median(df[own])
-    return items.choose(keep)
+    return replace(items, rare=keep)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple[DataFrame, str]:

@@ -169,6 +169,31 @@ def test_decontamination(spark):
     assert decontaminate.hits(df, bench.limit(0)).count() == 0
 
 
+def test_common_seeds_find_edited_copies(spark):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    noise = lambda n: " ".join(rng.choices(vocab, k=n))
+    item = noise(30)
+    edited = item.split()
+    edited[2::5] = ["zz"] * len(edited[2::5])
+    # more copies than a rare seed may have, and a whole one that lowers the median of the item's seeds
+    texts = [f"{noise(60)} {' '.join(edited)} {noise(60)}" for _ in range(40)] + [item] + [noise(120) for _ in range(200)]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    df = docs(spark, texts)
+    assert sorted(r.doc_id for r in decontaminate.hits(df, bench).collect()) == list(range(41))
+    marked = decontaminate.rare(df.select("text"), decontaminate.prepare([(0, item)]))
+    assert 0 < marked.rare.sum() < len(marked.rare) == 28
+
+
+def test_score_bounds_hold():
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        a, b = rng.integers(0, 9, rng.integers(1, 20)).astype(np.uint64), rng.integers(0, 12, rng.integers(1, 30)).astype(np.uint64)
+        ours, theirs = decontaminate._in_common(a, b)
+        assert ours.tolist() == np.isin(a, b).tolist() and theirs.tolist() == np.isin(b, a).tolist()
+        assert decontaminate.smith_waterman(a, b)[0] <= min(decontaminate._bound(ours), decontaminate._bound(theirs))
+
+
 def test_smith_waterman_equals_plain():
     rng = np.random.default_rng(6)
     for _ in range(200):
