@@ -9,6 +9,8 @@ goes through the library.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 #: Chunks a worker remembers (about 200 bytes each).
@@ -24,6 +26,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(body: str) -> bool:
+    """Whether a word is of letters also as the tokenizer normalises it: one that
+    comes to end in a combining mark is split in another place than before the mark."""
+    return body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha())
+
+
 class WordEncoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -39,7 +47,7 @@ class WordEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         body = chunk[:-1]
-        if chunk[-1:] in self.marks and body.isalpha():
+        if chunk[-1:] in self.marks and _letters(body):
             ids = self[body] + self.marks[chunk[-1]]
         elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
             ids = self[chunk.lower()]

@@ -34,6 +34,15 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_normalise_to_combining_marks():
+    from tokenizers import Tokenizer
+
+    own, lib = tokens.encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    for body in ("ALİ", "\u0915\u0958", "\ufb2a", "été", "İstanbul", "Σίσυφος"):
+        for mark in ".,;:!?":
+            assert np.frombuffer(own.encode(body + mark), "<u4").tolist() == lib.encode(body + mark, add_special_tokens=False).ids
+
+
 def test_token_files(spark):
     texts = ["hello world", None, "", "word " * 20_000, "hello world"]
     rows = token_io.round_trip(docs(spark, texts).repartition(3)).orderBy("doc_id").collect()
