@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lofted.llm import ann, decontaminate, langid, license_scan, packing, secret_scan, simple8b, token_io, tokens, url_filter, warc
@@ -161,6 +162,26 @@ def test_ann_recall(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_recall_of_hot_group(spark):
+    rng = np.random.default_rng(12)
+    n, hot = 24_000, 8_000
+    m = rng.standard_normal((n, 32))
+    m[:hot] = m[0] + 0.1 * rng.standard_normal((hot, 32))
+    m = m[rng.permutation(n)]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    table = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(m), pa.list_(pa.float64()))})
+    got = {}
+    for r in ann.search(spark.createDataFrame(table).coalesce(1), every=200).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == n // 200
+    hit = 0
+    for i, mine in got.items():
+        s = m @ m[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {v for _, v in mine})
+    assert hit == 20 * len(got)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(3000)]
