@@ -7,24 +7,58 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import METRES_PER_DEGREE
 from ..operators import weights
-from .sim import LON, PARAMETERS, Config, Lanes, Settings
+from .sim import ALT, LAT, LON, PARAMETERS, VZ, Config, Lanes, Settings
 
 SHRINK, ROUGHEN, RESAMPLE = 0.98, 0.02, 0.5
 SIGMA_ALT, SIGMA_RATE, SIGMA_FLAT = 10.0, 2.0, 8.0
+#: Widening of the altitude's sigma where it is by pressure, and sigma of the wind's scale.
+PRESSURE_FACTOR, SIGMA_WIND = 4.0, 0.2
 _ROWS = "filter_id long, update int, s double, particle int, " + ", ".join(f"{p} double" for p in PARAMETERS) + ", w double, mean_rate double"
 
 
+def rates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Samples in order of time with rate and span_s: the central difference of
+    the neighbours' altitudes, one-sided at the ends; NaN where one has none."""
+    s, alt = pdf.s.to_numpy(float), pdf.alt_m.to_numpy(float)
+    k = np.arange(len(s))
+    a, b = np.maximum(k - 1, 0), np.minimum(k + 1, len(s) - 1)
+    span = np.where((s[b] > s[a]) & ~np.isnan(alt[a]) & ~np.isnan(alt[b]), s[b] - s[a], np.nan)
+    return pdf.assign(rate=(alt[b] - alt[a]) / span, span_s=span)
+
+
+def log_likelihood(y: np.ndarray, row, launch: tuple[float, float, float]) -> np.ndarray:
+    """Of states given a sample with its rate, less a constant; absent channels add nothing."""
+    total = np.zeros(y.shape[1])
+    sigma = SIGMA_ALT * (PRESSURE_FACTOR if row.by_pressure else 1.0)
+    if not np.isnan(row.alt_m):
+        total -= 0.5 * ((y[ALT] - row.alt_m) / sigma) ** 2 + np.log(sigma)
+    if not np.isnan(row.rate):
+        s_rate = np.hypot(SIGMA_RATE, sigma * np.sqrt(2) / row.span_s)
+        total -= 0.5 * ((y[VZ] - row.rate) / s_rate) ** 2 + np.log(s_rate)
+    if not (np.isnan(row.lat) or np.isnan(row.lon)):
+        flat = np.hypot(y[LAT] - row.lat, (y[LON] - row.lon) * np.cos(np.radians(row.lat))) * METRES_PER_DEGREE
+        # wind is pinned, so the horizontal channel widens with the drift
+        drift = np.hypot(y[LAT] - launch[0], (y[LON] - launch[1]) * np.cos(np.radians(launch[0]))) * METRES_PER_DEGREE
+        s_flat = np.hypot(SIGMA_FLAT, SIGMA_WIND * drift)
+        total -= 0.5 * (flat / s_flat) ** 2 + np.log(s_flat)
+    return total
+
+
 def run(log: DataFrame, config: Config, settings: Settings, filters: int = 16, particles: int = 125, seed: int = 1) -> DataFrame:
     """Pooled posterior per update and parameter: q05, q50, q95, ess.
 
+    Each sample with a time is an update, also without altitude; a true value of
+    the optional column `by_pressure` marks altitudes of the barometer.
     Particles are summarised before resampling.  Filters differ by seed and share
     nothing; their particles are pooled as an equal mixture.
     """
-    own = log.where("alt_m is not null").select("s", "lat", "lon", "alt_m").withColumn("filter_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(filters - 1).cast("long"))))
+    by_pressure = F.coalesce(F.col("by_pressure"), F.lit(False)) if "by_pressure" in log.columns else F.lit(False)
+    own = log.where("s is not null").select("s", "lat", "lon", "alt_m", by_pressure.alias("by_pressure")).withColumn("filter_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(filters - 1).cast("long"))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
+        pdf = rates(pdf.sort_values("s"))
         rng = np.random.Generator(np.random.Philox(seed + 7919 * int(pdf.filter_id.iloc[0])))
         spec = [(n, d) for n, d in config.dispersion()]
         theta = {}
@@ -35,12 +69,7 @@ def run(log: DataFrame, config: Config, settings: Settings, filters: int = 16, p
         for k, row in enumerate(pdf.itertuples()):
             lanes.advance(row.s - last)
             last = row.s
-            east = (lanes.y[LON] - row.lon) * np.cos(np.radians(row.lat))
-            flat = np.hypot(lanes.y[0] - row.lat, east) * 111_195.0
-            # wind is pinned, so the horizontal channel widens with the drift
-            drift = np.hypot(row.lat - config.launch[0], row.lon - config.launch[1]) * 111_195.0
-            s_flat = np.hypot(SIGMA_FLAT, 0.2 * drift)
-            logw = logw - 0.5 * ((lanes.y[2] - row.alt_m) / SIGMA_ALT) ** 2 - 0.5 * (flat / s_flat) ** 2 - np.log(s_flat)
+            logw = logw + log_likelihood(lanes.y, row, config.launch)
             logw[lanes.failed] = -np.inf
             top = logw.max()
             w = np.full(particles, 1 / particles) if not np.isfinite(top) else np.exp(logw - top)

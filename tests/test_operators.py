@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lofted.functions import atmos, geo
 from lofted.operators import ellipse, sample, series
-from lofted.plans import sim
+from lofted.plans import bank, sim
 from lofted.sources import text
 
 
@@ -81,3 +81,26 @@ def test_entry_without_text_operators(monkeypatch):
 
     monkeypatch.setattr(importlib.util, "find_spec", lambda *a: None)
     assert "ellipse" in e.queries() and not any(k.startswith("op") for k in e.queries())
+
+
+def test_bank_skips_only_absent_channels(spark):
+    config, settings = sim.Config(), sim.Settings(step_s=0.5)
+    log = sim.synthetic_log(spark, config, settings, seed=5, every=120).where("s < 900").withColumn("alt_m", F.when(F.col("packet_id") % 4 != 2, F.col("alt_m")))
+    n = log.count()
+    out = bank.run(log, config, settings, filters=1, particles=8).select("update", "q50").collect()
+    assert {r.update for r in out} == set(range(n)) and log.where("alt_m is null").count() > 0
+    assert all(math.isfinite(r.q50) for r in out)
+
+
+def test_bank_channels():
+    import pandas as pd
+
+    log = bank.rates(pd.DataFrame({"s": [0.0, 1.0, 2.0, 3.0, 4.0], "lat": 0.0, "lon": 0.0, "alt_m": [0.0, 6.0, np.nan, 18.0, 24.0], "by_pressure": [False] * 4 + [True]}))
+    assert np.allclose(log.rate, [6, np.nan, 6, np.nan, 6], equal_nan=True) and np.allclose(log.span_s, [1, np.nan, 2, np.nan, 1], equal_nan=True)
+    y = np.array([[0.0, 0.0, 12.0, 6.0], [0.0, 0.0, 12.0, 16.0]]).T
+    rows = list(log.itertuples())
+    got = bank.log_likelihood(y, rows[2], (0.0, 0.0, 0.0))
+    assert np.isclose(got[0] - got[1], 0.5 * 100 / (4 + (10 * math.sqrt(2) / 2) ** 2))
+    assert np.isclose(bank.log_likelihood(y, rows[3], (0.0, 0.0, 0.0))[0], -0.5 * 0.6**2 - math.log(10) - math.log(8))
+    wide = math.hypot(2, 40 * math.sqrt(2))
+    assert np.isclose(bank.log_likelihood(y, rows[4], (0.0, 0.0, 0.0))[0], -0.5 * 0.3**2 - math.log(40) - math.log(wide) - math.log(8))
