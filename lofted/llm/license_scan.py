@@ -1,8 +1,8 @@
 """License scans with DataFrame functions only.
 
-Lines that may be notices are compared with templates by the cosine of their
-TF-IDF vectors; files without a notice take the licence of the nearest
-directory above them that has a licence file.
+Lines that may be notices, and whole files that have such a line, are compared
+with templates by the cosine of their TF-IDF vectors; files without a notice
+take the licence of the nearest directory above them that has a licence file.
 """
 
 from __future__ import annotations
@@ -11,11 +11,32 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by licence.
-TEMPLATES = (
+from .common import Scratch
+
+# Licence texts, headers and notices by licence.
+_PERMISSION = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_TWO_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_THIRD_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+TEXTS = (
+    ("MIT", "MIT License " + _PERMISSION + _AS_IS),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "BSD 2-Clause License " + _TWO_CLAUSES + _BSD_AS_IS),
+    ("BSD-3-Clause", "BSD 3-Clause License " + _TWO_CLAUSES + _THIRD_CLAUSE + _BSD_AS_IS),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", _GNU.format("General Public License", 2)),
+    ("GPL-3.0", _GNU.format("General Public License", 3)),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -36,6 +57,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 )
+#: The first of equally similar templates counts, so notices stand before texts.
+TEMPLATES = (*NOTICES, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in NOTICES} - {"Proprietary"})), *TEXTS)
 #: A line that matches this is compared with the templates.
 NOTICE = r"(?i)licen[cs]e|copyright|public domain|permission is hereby|redistribution and use|rights reserved|spdx"
 MIN_SCORE = 0.6
@@ -65,43 +88,45 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def best_template(line: Column, templates=TEMPLATES) -> Column:
-    """(score, template) of the most similar template of a line, the first of equal ones."""
+def _weight_table(spark: SparkSession, templates) -> tuple[DataFrame, float]:
+    """word, idf and entries (template, weight) of the templates' words, and the idf of others."""
     rows, other = weights(templates)
-    by_word: dict[str, list[tuple[int, float]]] = {}
-    idf = {}
+    by_word: dict[str, tuple[float, list[str]]] = {}
     for w, t, i, x in rows:
-        by_word.setdefault(w, []).append((t, x))
-        idf[w] = i
-    idf_of = F.create_map(*[F.lit(v) for w in sorted(idf) for v in (w, idf[w])])
-    entries = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(x).alias("x")) for t, x in own]) for w, own in by_word.items()}
-    entries_of = F.create_map(*[v for w in sorted(entries) for v in (F.lit(w), entries[w])])
-    tokens = _tokens(line)
-    distinct = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("w"), (F.size(F.filter(tokens, lambda y: y == w)) * F.coalesce(F.try_element_at(idf_of, w), F.lit(other))).alias("v")))
-    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda s, d: s + d["v"] * d["v"]))
-    parts = F.flatten(F.transform(F.filter(distinct, lambda d: F.try_element_at(entries_of, d["w"]).isNotNull()), lambda d: F.transform(F.try_element_at(entries_of, d["w"]), lambda e: F.struct(e["t"].alias("t"), (e["x"] * d["v"]).alias("x")))))
-    near = F.array_distinct(F.transform(parts, lambda e: e["t"]))
-    scored = F.transform(near, lambda t: F.struct(F.round(F.aggregate(F.filter(parts, lambda e: e["t"] == t), F.lit(0.0), lambda s, e: s + e["x"]) / norm, 6).alias("score"), (-t).alias("minus")))
-    best = F.array_max(scored)
-    return F.struct(best["score"].alias("score"), (-best["minus"]).alias("template"))
+        by_word.setdefault(w, (i, []))[1].append(f"named_struct('t', {t}, 'x', {x!r}D)")
+    values = ", ".join(f"('{w}', {i!r}D, array({', '.join(entries)}))" for w, (i, entries) in sorted(by_word.items()))
+    return spark.sql(f"select * from values {values} as w(word, idf, entries)"), other
 
 
 def own_notices(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """`files` (path, text) with own_license, own_score and is_license_file."""
+    """Of `files` (id, k, text; k a hash of the text): id, k, own_license, own_score
+    and whole (whether notices make up the file) of each that has a notice.
+
+    A file's words, and those of each line that may be a notice, are rows of
+    their own; rows that are repeated scale a vector but do not turn it.
+    """
+    table, other = _weight_table(files.sparkSession, templates)
     names = F.array(*[F.lit(name) for name, _ in templates])
-    text = F.col("text")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NOTICE))
-    scored = F.transform(lines, lambda line: F.struct(best_template(line, templates).alias("b"), F.size(_tokens(line)).alias("n")))
-    found = F.when(text.rlike(NOTICE), F.filter(scored, lambda s: s["b"]["score"] >= MIN_SCORE))
-    top = F.array_max(F.transform("__found", lambda s: F.struct(s["b"]["score"].alias("score"), (-s["b"]["template"]).alias("minus"))))
-    covered = F.aggregate("__found", F.lit(0), lambda s, x: s + x["n"])
-    out = files.withColumn("__found", found).withColumn("__top", top)
-    return out.select(
-        *files.columns,
-        F.get(names, -F.col("__top.minus")).alias("own_license"),
-        F.col("__top.score").alias("own_score"),
-        (F.col("__top").isNotNull() & (F.col("path").rlike(LICENSE_NAME) | (covered >= FILE_SHARE * F.size(_tokens(text))))).alias("is_license_file"),
-    )
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("n"), line.alias("t")))
+    units = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.col("text").alias("t"))), F.filter(lines, lambda u: u["t"].rlike(NOTICE)))
+    noted = files.where(F.col("text").rlike(NOTICE)).select("id", "k", F.explode(units).alias("u"))
+    terms = noted.select("id", "k", F.col("u.n").alias("n"), F.explode(_tokens(F.col("u.t"))).alias("word")).groupBy("id", "k", "n", "word").agg(F.count("*").cast("double").alias("tf"))
+    v = F.col("tf") * F.coalesce("idf", F.lit(other))
+    cell = lambda t, x: F.struct(t.alias("t"), x.alias("x"))
+    # under -1 the square of the vector's length, under -2 its words
+    cells = F.concat(F.array(cell(F.lit(-1), v * v), cell(F.lit(-2), F.col("tf"))), F.coalesce(F.transform("entries", lambda e: cell(e["t"], e["x"] * v)), F.array().cast("array<struct<t:int,x:double>>")))
+    sums = terms.join(table, "word", "left").select("id", "k", "n", F.explode(cells).alias("c")).groupBy("id", "k", "n", "c.t").agg(F.sum("c.x").alias("x"))
+    of = lambda t: F.max(F.when(F.col("t") == t, F.col("x")))
+    units = sums.groupBy("id", "k", "n").agg(F.sqrt(of(-1)).alias("norm"), of(-2).alias("words"), F.collect_list(F.when(F.col("t") >= 0, F.struct("t", "x"))).alias("dots"))  # a row for each template at most
+    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["x"] / F.col("norm"), 6).alias("score"), (-d["t"]).alias("minus"))))
+    judged = units.select("id", "k", "n", "words", best.alias("best")).withColumn("found", F.coalesce(F.col("best.score") >= MIN_SCORE, F.lit(False)))
+    own = judged.groupBy("id", "k").agg(
+        F.max(F.when(F.col("found"), F.col("best"))).alias("top"),
+        F.sum(F.when(F.col("found") & (F.col("n") > 0), F.col("words")).otherwise(0.0)).alias("covered"),
+        F.max(F.when(F.col("n") == 0, F.col("words"))).alias("words"),
+        F.max(F.col("found") & (F.col("n") == 0)).alias("text"),
+    ).where("top is not null")
+    return own.select("id", "k", F.get(names, -F.col("top.minus")).alias("own_license"), F.col("top.score").alias("own_score"), (F.col("text") | (F.col("covered") >= FILE_SHARE * F.col("words"))).alias("whole"))
 
 
 def directory(path: Column) -> Column:
@@ -113,12 +138,19 @@ def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per row of `files` (id, path, text; others are ignored): id, path, license,
     score, basis ('own', 'inherited' or null) and license_dir.
 
-    A file's licence is that of its most similar notice line; without one, that
-    of the nearest directory from its own upwards which has a licence file (of
-    several, the most similar one's; of equal ones the first name).  Null texts
-    have no notice and null paths no directory; repeated rows stay.
+    A file's licence is that of the template most similar to one of its notice
+    lines or to the whole of it (of equal ones the first template's); without one,
+    that of the nearest directory from its own upwards which has a licence file
+    (of several, the most similar one's; of equal ones the first name).  Null
+    texts have no notice and null paths no directory; null ids and repeated rows
+    stay, an empty table gives no rows.
     """
-    own = own_notices(files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")), templates).select("id", "path", "own_license", "own_score", "is_license_file").withColumn("dir", directory(F.col("path")))
+    scratch = Scratch(files.sparkSession, "licenses")
+    keyed = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    noted = scratch.save(own_notices(keyed, templates), "noted").withColumnsRenamed({"id": "noted_id", "k": "noted_k"})
+    named = keyed.select("id", "path", "k").join(noted, F.col("id").eqNullSafe(F.col("noted_id")) & (F.col("k") == F.col("noted_k")), "left")
+    is_file = F.col("own_license").isNotNull() & F.coalesce(F.col("whole") | F.col("path").rlike(LICENSE_NAME), F.lit(False))
+    own = scratch.save(named.select("id", "path", "own_license", "own_score", is_file.alias("is_license_file"), directory(F.col("path")).alias("dir")), "own")
     licensed = own.where("is_license_file and path is not null").groupBy("dir").agg(F.min_by(F.struct("own_license", "own_score"), F.struct(-F.col("own_score"), F.col("own_license"))).alias("l"))
     licensed = licensed.select(F.col("dir").alias("license_dir"), "l.own_license", "l.own_score")
     # directories, not files, meet their ancestors
