@@ -12,7 +12,9 @@ from .common import table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark), url_filter.listed_table(spark))
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host(F.col("url")).rlike(url_filter.LISTED_HOSTS)).select("url")
+    return url_filter.judge(pages, url_filter.rule_table(spark), listed.unionByName(url_filter.listed_table(spark)))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +22,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "record_id", "refers_to_id")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents")).drop("sig")
+    return ngram_join.link(table(spark, sf_dir, "documents")).drop("k", "comp")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +79,15 @@ urls as (select distinct host, path from parts),
 best as (
   select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(verdict, length(rule_host || rule_path)) as verdict
   from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
-  group by host, path)
-select page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdict
-from parts p left join best b on p.host = b.host and p.path = b.path"""
+  group by host, path),
+cut as (
+  select page_id, host, path, regexp_replace(rtrim(regexp_replace(host, ':(80|443)$', ''), '.'), '^www\\.', '') as name,
+    list_sort(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^{url_filter.TRACKING}'))) as kept
+  from parts where contains(url, '://')),
+canonical as (select page_id, host, name || rtrim(path, '/') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as url from cut),
+listed as (select distinct url from canonical where regexp_matches(host, '{url_filter.LISTED_HOSTS}') union select unnest({[url_filter.canonical(u) for u in url_filter.LISTED]!r}))
+select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, case when l.url is not null then 'block' end, 'allow') as verdict
+from parts p left join best b on p.host = b.host and p.path = b.path left join canonical c on c.page_id = p.page_id left join listed l on l.url = c.url"""
 
 
 _OP3_SQL = """
@@ -115,7 +123,9 @@ w(word, t, idf, x) as (values {words}),
 idf as (select distinct word, idf from w),
 names(t, name) as (values {names}),
 lines as (select fid, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from files where regexp_matches(text, '{notice}')),
-notices as (select fid, n, regexp_extract_all(lower(line), '[a-z0-9]+') as tokens from lines where regexp_matches(line, '{notice}')),
+notices as (
+  select fid, n, regexp_extract_all(lower(line), '[a-z0-9]+') as tokens from lines where regexp_matches(line, '{notice}')
+  union all select fid, 0, regexp_extract_all(lower(text), '[a-z0-9]+') from files where regexp_matches(text, '{notice}')),
 terms as (select fid, n, word, count(*) as tf from (select fid, n, unnest(tokens) as word from notices) group by all),
 vectors as (select fid, n, word, tf * coalesce(idf, {other!r}) as v from terms left join idf using (word)),
 norms as (select fid, n, sqrt(sum(v * v)) as norm from vectors group by all),
@@ -123,10 +133,10 @@ dots as (select fid, n, t, round(sum(v * x) / any_value(norm), 6) as score from
 best as (select fid, n, max(score) as score, arg_max(t, score * 1000000 - t * 0.001) as t from dots group by all),
 good as (select fid, n, score, t from best where score >= {license_scan.MIN_SCORE}),
 own as (select fid, max(score) as own_score, arg_max(t, score * 1000000 - t * 0.001) as t from good group by fid),
-covered as (select fid, sum(len(tokens)) as c from good join notices using (fid, n) group by fid),
+covered as (select fid, coalesce(sum(len(tokens)) filter (where n > 0), 0) as c, max(n = 0) as whole from good join notices using (fid, n) group by fid),
 judged as (
   select f.*, name as own_license, own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
-    own.t is not null and c >= {license_scan.FILE_SHARE} * len(regexp_extract_all(lower(text), '[a-z0-9]+')) as is_file
+    own.t is not null and (whole or c >= {license_scan.FILE_SHARE} * len(regexp_extract_all(lower(text), '[a-z0-9]+'))) as is_file
   from files f left join own using (fid) left join names using (t) left join covered using (fid)),
 dirs as (select dir, arg_min(own_license, (-own_score, own_license)) as license, max(own_score) as score from judged where is_file group by dir),
 above as (select j.fid, d.dir as license_dir, d.license, d.score, row_number() over (partition by j.fid order by length(d.dir) desc) as r

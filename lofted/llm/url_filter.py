@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,13 @@ from .common import Scratch
 
 #: Rules of the query: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Listed canonical URLs of the query, blocked where no rule fits.
+#: Listed URLs of the query besides those of pages on hosts with one of the names; blocked where no rule fits.
 LISTED = ("http://malware.test/", "http://phishing.test/login", "http://tracker.test/pixel?id=1")
+LISTED_HOSTS = "casino-win|free-bets|cheap-pills"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
-_TRACKING = regex.compile(r"(utm_\w*|gclid|fbclid|ref)(=|$)")
+TRACKING = r"(utm_[A-Za-z0-9_]*|gclid|fbclid|ref)(=|$)"
+_TRACKING = re.compile(TRACKING)
 
 
 def host(url: Column) -> Column:
@@ -39,7 +41,7 @@ def canonical(url: str) -> str:
     before, mark, query = rest.partition("?")
     name, slash, tail = before.partition("/")
     name = name.translate(_FOLD)
-    name = regex.sub(r":(80|443)$", "", name).rstrip(".").removeprefix("www.")
+    name = re.sub(r":(80|443)$", "", name).rstrip(".").removeprefix("www.")
     kept = sorted(p for p in query.split("&") if p and not _TRACKING.match(p)) if mark else []
     return name + (slash + tail).rstrip("/") + ("?" + "&".join(kept) if kept else "")
 
@@ -66,7 +68,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_log2_blocks
     of rules (host and path) and of listed URLs go into one Bloom filter; the
     possible hits of a URL are joined exactly with the keys.  Null URLs and ones
     without :// have empty parts, no rule, and are allowed.  Repeated rows stay;
-    rules or URLs that are null are left out; other columns are ignored.
+    rules or URLs that are null, and URLs without ://, are left out; other columns
+    are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -80,7 +83,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_log2_blocks
         return pa.array([None if k.as_py() is None else _hash(k.as_py()) for k in keys], pa.int64())
 
     known = rules.where("host is not null and path is not null and verdict is not null").select(F.concat(F.lit("r "), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", "host", "path")
-    urls = listed.where("url is not null").select(F.concat(F.lit("u "), canon("url")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")).distinct()
+    urls = listed.where("url like '%://%'").select(F.concat(F.lit("u "), canon("url")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")).distinct()
     keys = scratch.save(known.unionByName(urls).withColumn("h", hashed("key")), "keys")
     log2 = bloom.size_for(keys.count(), max_log2_blocks=max_log2_blocks)
     # labels of a rule's host and lengths of its path: the shapes that a URL is cut to
