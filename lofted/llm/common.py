@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a new temporary folder that is then set."""
+    unset on a local master, a new temporary folder that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lofted-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -57,6 +59,13 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(path)
 
+    def keep(self, name: str) -> None:
+        """Deletes all tables but one."""
+        where, fs = self._fs(self.path)
+        for status in fs.listStatus(where):
+            if status.getPath().getName() != name:
+                fs.delete(status.getPath(), True)
+
     def drop(self, name: str) -> None:
         where, fs = self._fs(f"{self.path}/{name}")
         fs.delete(where, True)

@@ -16,7 +16,7 @@ from .shingles import MARKS, ngrams, rows_of_words
 
 #: Words of a seed; the share of all documents up to which a seed is rare.
 SEED_WORDS, RARE_SHARE = 3, 0.001
-#: Words an item needs to be looked for.
+#: An item of fewer words is found only where it is all of a text, as most texts hold its words by chance.
 MIN_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a hit, as a share of the score of the item's own text.
@@ -55,8 +55,8 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass(frozen=True)
 class Items:
-    """Test items of one pass: their words, and seeds sorted by hash with the
-    item and the place of each, and whether it is rare."""
+    """Test items of one pass: their words, seeds sorted by hash with the item and
+    the place of each, and whether it is rare; and the items of few words by these."""
 
     ids: tuple
     words: tuple[np.ndarray, ...]
@@ -64,13 +64,19 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     rare: np.ndarray
+    short: dict[bytes, list[int]]
 
 
 def prepare(rows: list[tuple]) -> Items:
-    """Items of (id, text) rows that have words enough."""
+    """Items of (id, text) rows that have words."""
+    short: dict[bytes, list[int]] = {}
     ids, words, seeds, item, place = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row, own, _, _, _ in rows_of_words(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())), MARKS):
         if len(own) < MIN_WORDS:
+            if len(own):
+                short.setdefault(own.tobytes(), []).append(len(ids))
+                ids.append(rows[row][0])
+                words.append(own)
             continue
         grams = ngrams(own, SEED_WORDS)
         seeds.append(grams)
@@ -80,7 +86,7 @@ def prepare(rows: list[tuple]) -> Items:
         words.append(own)
     s, i, p = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
     order = np.argsort(s, kind="stable")
-    return Items(tuple(ids), tuple(words), s[order], i[order], p[order], np.ones(len(s), bool))
+    return Items(tuple(ids), tuple(words), s[order], i[order], p[order], np.ones(len(s), bool), short)
 
 
 class _Lookup:
@@ -120,22 +126,22 @@ def _bound(common: np.ndarray) -> int:
 
 def align(words: np.ndarray, lookup: _Lookup) -> list[tuple[int, float, int, int]]:
     """(item, share of its score, first word, end) of each item seeded in a text
-    and found with MIN_SCORE, at its best place.
+    and found with MIN_SCORE, at its best place (of equal ones the first).
 
     Stretches with a rare seed are aligned where they have words enough in
     common; those of common seeds only where no bound rules the score out.
     """
+    items = lookup.items
+    found = {k: (k, 1.0, 0, len(words)) for k in items.short.get(words.tobytes(), ())} if 0 < len(words) < MIN_WORDS else {}
     at, which = lookup.find(ngrams(words, SEED_WORDS))
     if not len(at):
-        return []
-    items = lookup.items
+        return list(found.values())
     low, high = np.searchsorted(items.seeds, lookup.unique[which]), np.searchsorted(items.seeds, lookup.unique[which], "right")
     many = high - low
     rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
     item, offset = items.item[rows], np.repeat(at, many) - items.place[rows]
     order = np.lexsort((offset, item))
     item, offset, is_rare = item[order], offset[order], items.rare[rows][order]
-    found: dict[int, tuple[int, float, int, int]] = {}
     size = np.array([len(w) for w in items.words])[item]
     edges = np.flatnonzero((np.diff(item) != 0) | (np.diff(offset) > size[1:])) + 1
     for own in np.split(np.arange(len(item)), edges):
@@ -197,9 +203,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple
     """`docs` with an array of (item_id, score, first, end), and its name: the items
     that a text holds a copy of, also an edited one, with the words it covers.
 
-    Null and empty texts hold none; items that are null or have fewer than
-    MIN_WORDS words are not looked for; item_id may be null; equal items under
-    one id count once.  Rows and all their columns stay.
+    Null and empty texts hold none; items without words are not looked for, and
+    those of fewer than MIN_WORDS only as all of a text; item_id may be null;
+    equal items under one id count once.  Rows and all their columns stay,
+    repeated ones too; an empty table of either kind gives no hits.
     """
     (name,) = fresh(docs, "leaks")
     kind = "array<struct<item_id:long,score:double,first:long,end:long>>"

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, q
 
-#: Bounds of the training sample: documents of a language, code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 32, 2048
+#: Bounds of the training sample: documents of a language, code points of each and of all, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, LANGUAGES = 256, 2048, 1 << 16, 100
 #: Bytes that are compressed at a time, so that the dictionary counts throughout a long text.
 CHUNK = 2048
 #: Matches of four bytes, searched for well enough to tell related words apart.
@@ -56,11 +56,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """Dictionaries from rows of doc_id, text, lang that are not held out.
 
-    The sample is bounded: of each language the `docs_per_lang` documents of the
-    least hash of doc_id, and of each up to `chars` code points.  Rows without
-    doc_id, lang or a text of a few words are not learned from.
+    The sample is bounded: of each language the first of the `docs_per_lang`
+    documents of the least hash of doc_id, up to `chars` code points of each and
+    `LANGUAGE_CHARS` of all.  More than `LANGUAGES` languages raise.  Rows without
+    doc_id, lang or a letter are not learned from; of rows repeated under one
+    doc_id and lang the least text is.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") >= 64) & ~held_out(F.col("doc_id")))
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     ranked = usable.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang)
     picked = {(r.doc_id, r.lang): r.r for r in ranked.collect()}  # the bound of the sample
@@ -71,9 +76,15 @@ def train(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE
             if (r.doc_id, r.lang) in picked:
                 by_lang.setdefault(r.lang, {})[picked[r.doc_id, r.lang]] = letters(r.text)
     # zstandard favours what stands last, so the order is fixed by rank
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order_of = sorted(by_lang, key=lambda lang: (-counts[lang], lang))
-    return Model(tuple((lang, b"".join(t for _, t in sorted(by_lang[lang].items()))) for lang in order_of))
+    order_of, contents = sorted(by_lang, key=lambda lang: (-counts[lang], lang)), []
+    for lang in order_of:
+        held, size = [], 0
+        for _, t in sorted(by_lang[lang].items()):
+            if size < LANGUAGE_CHARS:
+                held.append(t)
+                size += len(t)
+        contents.append((lang, b"".join(held)))
+    return Model(tuple(contents))
 
 
 def classify(raw: bytes, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, components
+from .common import Scratch, components, fresh, q
 from .shingles import rows_of_words, shingle_set
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -383,8 +383,8 @@ class _Join:
         self.scratch = Scratch(docs.sparkSession, "ngrams")
         self.spark = docs.sparkSession
         text = F.col("text").cast("string")
-        # k finds a member's text again; null doc_ids are found by the text's hash
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.coalesce("doc_id", F.xxhash64("text")))
+        # k finds a member's row again
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
         self.turn = 0
 
     def release(self) -> None:
@@ -413,9 +413,12 @@ class _Join:
         comps = self.finish(pairs, leads, edges, comps)
         named = self.sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("comp", "sig").alias("comp"))
         least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        labels = self.scratch.save(named.join(least, "comp").select("sig", "component_id"), "labels")
+        labels = self.scratch.save(named.join(least, "comp").select("sig", "comp", "component_id"), "labels")
         out = members.join(labels, "sig", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sig")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "k", "comp")
+        linked = self.scratch.save(out, "linked")
+        self.scratch.keep("linked")
+        return linked
 
     def shared_entries(self) -> DataFrame:
         """Entries of postings with two groups or more: key, salt, gid, np, `before`
@@ -572,8 +575,8 @@ class _Join:
 
 def link(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text; other columns are ignored): doc_id,
-    n_shingles, component_id (the smallest doc_id reachable by links) and sig,
-    a hash of its set.
+    n_shingles, component_id (the smallest doc_id reachable by links), k (a hash
+    of doc_id and text) and comp (a number of its component; null without shingles).
 
     Null, empty and blank texts have no shingles and stand alone, under their own
     doc_id.  Null doc_ids take part and name no component.  Repeated rows and
@@ -585,14 +588,18 @@ def link(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without all but one document of each component: that of
-    the smallest doc_id, all columns as they are.  Rows without shingles stay, as
-    do those of null doc_id."""
-    linked = link(docs)
-    gone = linked.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = linked.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    the smallest doc_id (null last, then by a hash of the row), all columns as
+    they are.  Rows without shingles stay; of rows repeated under one doc_id and
+    text any one does."""
+    (key,) = fresh(docs, "__k")
+    keyed = docs.withColumn(key, F.xxhash64(q("doc_id").cast("long"), q("text").cast("string")))
+    linked = link(docs).where("n_shingles > 0")
+    first = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("m")).select("comp", F.col("m.k").alias("first"))
+    gone = linked.join(first, "comp").where("k <> first").select("k").distinct()
+    kept = keyed.join(gone, q(key) == gone.k, "left_anti")
+    twice = linked.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    names = [q(c) for c in docs.columns]
     if twice.isEmpty():
-        return kept
-    # rows repeated under one doc_id: one of each text stays
-    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi").select(kept.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(twice.select("doc_id"), "doc_id", "left_anti").select(kept.columns).unionByName(again)
+        return kept.select(names)
+    again = kept.join(twice, q(key) == twice.k, "left_semi").dropDuplicates([key]).select(names)
+    return kept.join(twice, q(key) == twice.k, "left_anti").select(names).unionAll(again)
