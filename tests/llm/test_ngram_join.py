@@ -73,7 +73,16 @@ def test_nulls_ties_and_long_texts(spark):
     assert got(ngram_join.link(df)) == brute(rows)
     kept = ngram_join.keep_one(df)
     assert kept.columns == ["doc_id", "text", "Component_ID"]
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, None, 7, 9, 10, None]))
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, 7, 9, 10, None]))
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = "one two three four five six"
+    rows = [(1, "other words here", 0), (1, text, 1), (2, text, 2), (None, text, 3), (5, text.upper(), 4), (None, "alone in this table", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    assert sorted(r["a.b"] for r in ngram_join.keep_one(df).collect()) == [0, 1, 5]
+    nulls = spark.createDataFrame([(None, text, 1), (None, text + " seven", 2), (None, text, 1)], "doc_id long, text string, K int")
+    assert ngram_join.keep_one(nulls).count() == 2
 
 
 def test_empty_table(spark):

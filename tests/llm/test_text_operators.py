@@ -1,5 +1,8 @@
+import hashlib
+import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -25,6 +28,19 @@ def test_simple8b_round_trip():
         assert (simple8b.decode(*simple8b.encode(v)) == v).all()
 
 
+def test_generations_of_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    own, lib, rng = tokens.WordEncoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path()), random.Random(4)
+    words = [f"{w}{m}" for w in ("the", "Été", "naïve", "ßa", "x1", "l'été", "中文", "ÀB") for m in ("", ",", "...", "!?)", "(x")]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=40))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "STRETCH", 10)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_word_encoder_equals_library():
     from tokenizers import Tokenizer
 
@@ -110,6 +126,11 @@ def test_secrets(spark):
     for _ in range(4000):
         t = "".join(rng.choices(pool, k=rng.randint(0, 14)))
         assert secret_scan.spans(t) == brute_secrets(t)
+    made = spark.createDataFrame([(k, "".join(rng.choices(pool, k=30)), "x") for k in range(300)], "doc_id long, text string, Spans string")
+    for r, m in zip(secret_scan.digests(made).orderBy("doc_id").collect(), made.orderBy("doc_id").collect(), strict=True):
+        own = brute_secrets(m.text)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == (*(sum(s[0] == k for s in own) for k in ("assign", "access", "hex")), hashlib.sha256(listed.encode()).hexdigest(), listed)
     good, bad = github(), github()[:-1] + "!"
     df = docs(spark, [None, "", f"x {good} y", f"x {bad}", "token=abcdefabcdef12 and 0123456789abcdef", "clean"])
     out = secret_scan.scan(df)
@@ -126,13 +147,54 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_refer_to_records(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"own {i}", "x") for i in range(90)] + [(89, "http://h/89", "same", "x")], "page_id long, url string, html string, `File` string")
+    rows = warc.round_trip(pages.repartition(5)).collect()
+    by_id = {r.record_id: r for r in rows}
+    assert len(by_id) == len(rows) == 91
+    revisits = [r for r in rows if r.record_type == "revisit"]
+    assert len(revisits) == 59
+    for r in revisits:
+        other = by_id[r.refers_to_id]
+        assert (other.record_type, other.page_id, other.payload_digest) == ("response", r.refers_to, r.payload_digest) and r.refers_to == 89
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
-    made = [warc.ArcRecord(version, f"http://h/{i} x", "1.2.3.4", "19970102030405", "text/html", b"a\nb" * i) for i in range(4)]
-    data = warc.arc_version_block(version, "f.arc", "19970102030405") + b"".join(map(warc.arc_record, made))
-    assert list(warc.parse_arc(data)) == made
+    data = warc.arc_version_block(version, "f.arc", "19970102030405")
+    made = []
+    for i in range(4):
+        made.append(warc.ArcRecord(version, f"http://h/{i} x", "1.2.3.4", "19970102030405", "text/html", b"a\nb" * i, "f.arc", len(data)))
+        data += warc.arc_record(made[-1])
+    assert list(warc.parse_arc(io.BytesIO(data))) == made
+    starts = [r.offset for r in warc.parse_arc(io.BytesIO(data))]
+    assert all(data[a:].startswith(f"http://h/{i} x".encode()) for i, a in enumerate(starts))
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(io.BytesIO(data[:-3])))
+
+
+def test_stored_arc_files(spark, tmp_path):
+    page = b"HTTP/1.0 200 OK\r\nContent-Length: 4\r\n\r\nbody"
+    for version in (1, 2):
+        blocks = [page, b"plain", b""]
+        text = warc.arc_version_block(version, f"{version}.arc", "1997010203") + b"".join(warc.arc_record(warc.ArcRecord(version, f"http://h/{k}", "1.2.3.4", "1997010203", "text/plain", x)) for k, x in enumerate(blocks))
+        (tmp_path / f"{version}.arc").write_bytes(text)
+    files = spark.createDataFrame([(f"file://{tmp_path}/{v}.arc",) for v in (1, 2)] + [(None,)], "file string")
+    (tmp_path / "warc").mkdir()
+    index = warc.convert_arc(spark, files, f"file://{tmp_path}/warc").persist()
+    assert index.count() == 6 and {r.date for r in index.collect()} == {"1997-01-02T03:00:00Z"}
+    rows = warc.read_warc(index).collect()
+    assert sorted((r.record_type, r.payload_bytes) for r in rows) == sorted([("response", 4), ("resource", 5), ("resource", 0)] * 2)
+    assert len({r.record_id for r in rows}) == 6
+
+
+def test_members_are_read_in_linear_time():
+    one = warc._packed(b"x" * 300)
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.members(io.BytesIO(one * 60_000))) == 60_000
+    assert time.perf_counter() - began < 20
     with pytest.raises(ValueError):
-        list(warc.parse_arc(data[:-3]))
+        list(warc.members(io.BytesIO(one[:-2])))
 
 
 def test_url_filter(spark):
@@ -190,13 +252,16 @@ def test_decontamination(spark):
     for at in (3, 9, 15, 21, 27):
         edited[at] = "zz"
     noise = lambda: " ".join(rng.choices(vocab, k=200))
-    texts = [noise(), None, "", noise() + ", " + items[0].upper() + "! " + noise(), noise() + " " + " ".join(edited) + " " + noise(), items[5]]
+    texts = [noise(), None, "", noise() + ", " + items[0].upper() + "! " + noise(), noise() + " " + " ".join(edited) + " " + noise(), items[5], "Too, short!", "too short of"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None), (10, "too short")], "item_id long, text string")
     df = docs(spark, texts)
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.hits(df, bench).collect()) == [(3, 0), (4, 1), (5, 5)]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.hits(df, bench).collect()) == [(3, 0), (4, 1), (5, 5), (6, 10)]
     kept = decontaminate.clean(df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 7]
     assert decontaminate.hits(df, bench.limit(0)).count() == 0
+    assert decontaminate.hits(df.limit(0), bench).count() == 0
+    twice = decontaminate.hits(df.unionAll(df), bench.unionAll(bench)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in twice) == [(3, 0)] * 2 + [(4, 1)] * 2 + [(5, 5)] * 2 + [(6, 10)] * 2
 
 
 def test_common_seeds_find_edited_copies(spark):
@@ -250,3 +315,29 @@ def test_license_inheritance(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "import os"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "code " * 20), (4, "z/w.py", None), (5, None, "x"), (6, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.id: (r.license, r.basis, r.license_dir) for r in license_scan.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own", None), 2: ("GPL-3.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: (None, None, None), 5: (None, None, None), 6: ("GPL-3.0", "own", None)}
+
+
+def test_license_texts_and_odd_files(spark):
+    wrapped = dict(license_scan.TEXTS)["MIT"].split()
+    wrapped = "\n".join(" ".join(wrapped[i : i + 8]) for i in range(0, len(wrapped), 8))
+    gpl = "# " + dict(license_scan.TEXTS)["GPL-3.0"].replace(". ", ".\n# ")
+    files = [
+        (1, "a/COPYRIGHT", "Copyright (c) 2020 Foo\n" + wrapped),
+        (2, "a/x.py", "SPDX-License-Identifier: Apache-2.0\n" + "code " * 20),
+        (3, "b/y.c", gpl),
+        (4, "a/z", "no notice"),
+        (4, "a/z", "no notice"),
+        (None, "b/w", "Released under the MIT License."),
+        (None, "b/w", "Released under the MIT License."),
+        (5, "c/v", "licence " * 100_000),
+        (6, "d", ""),
+        (7, "c/u", "Released under the MIT License.\nReleased under the ISC License."),
+    ]
+    df = spark.createDataFrame([(*f, "x", 1) for f in files], "id long, path string, text string, `own.license` string, K int")
+    rows = license_scan.scan(df).collect()
+    assert len(rows) == len(files)
+    got = {r.id: (r.license, r.basis, r.license_dir) for r in rows}
+    assert got[1][:2] == ("MIT", "own") and got[2][:2] == ("Apache-2.0", "own") and got[3][:2] == ("GPL-3.0", "own")
+    assert got[4] == ("MIT", "inherited", "a") and got[None][:2] == ("MIT", "own")
+    assert got[5] == ("MIT", "inherited", "c") and got[6] == (None, None, None) and got[7][:2] == ("MIT", "own")
+    assert license_scan.scan(df.limit(0)).count() == 0
