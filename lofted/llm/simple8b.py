@@ -17,24 +17,46 @@ ESCAPE = 1
 BLOCK = 4096
 _COUNTS = np.array([c for c, _ in PACKINGS], np.int64)
 _POWERS = np.uint64(1) << np.arange(1, 64, dtype=np.uint64)
+#: A width that no word takes.
+_NEVER = 127
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value; none for 0."""
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.int8)
+    wide = np.flatnonzero(values >> np.uint64(53))  # beyond what a float tells apart
+    bits[wide] = np.searchsorted(_POWERS, values[wide], "right") + 1
+    return bits
 
 
 def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     """For each place, the selector of the word that would start there: the one
     with most values that all fit and all lie in the place's block."""
-    n = len(values)
-    bits = np.searchsorted(_POWERS, values, "right").astype(np.int8) + np.int8(1)
-    bits[values == 0] = 0
-    at = np.arange(n, dtype=np.int64)
-    end = np.minimum((at // block + 1) * block, n)
-    chosen = np.where(bits > 60, ESCAPE, len(PACKINGS) - 1).astype(np.int8)
+    n, most = len(values), _COUNTS.max()
+    blocks = -(-n // block)
+    bits = _widths(values)
+    own = np.full(blocks * block, _NEVER, np.int8)
+    own[:n] = bits
+    padded = np.full((blocks, block + most), _NEVER, np.int8)  # nothing fits across a block's end
+    padded[:, :block] = own.reshape(blocks, block)
+    widest = {1: padded}
+
+    def over(count: int) -> np.ndarray:
+        """The greatest width of `count` values from each place, of two overlapping halves."""
+        if count not in widest:
+            half = over((count + 1) // 2)
+            rest = count // 2
+            out = half.copy()
+            np.maximum(half[:, :-rest], half[:, rest:], out=out[:, :-rest])
+            widest[count] = out
+        return widest[count]
+
+    chosen = np.where(padded > 60, np.int8(ESCAPE), np.int8(len(PACKINGS) - 1))
     for s in range(len(PACKINGS) - 2, -1, -1):
         count, width = PACKINGS[s]
-        if s == ESCAPE or not (bits <= width).any():
-            continue
-        stop = np.minimum.accumulate(np.where(bits > width, at, n)[::-1])[::-1]
-        chosen[np.minimum(stop, end) - at >= count] = s
-    return chosen
+        if s != ESCAPE and (bits <= width).any():
+            chosen[over(count) <= width] = s
+    return chosen[:, :block].ravel()[:n]
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +68,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
     chosen = _selectors(values, block)
-    step, starts, i = _COUNTS[chosen].tolist(), [], 0
+    step, starts, i = _COUNTS.astype(np.uint8)[chosen].tobytes(), [], 0
     while i < n:
         starts.append(i)
         i += step[i]
@@ -58,8 +80,11 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         if s == ESCAPE or width == 0:
             continue
         own = np.flatnonzero(sel == s)
-        for k in range(count):
-            words[own] |= values[at[own] + k] << np.uint64(k * width)
+        base = at[own]
+        packed = values[base]
+        for k in range(1, count):
+            packed |= values[base + k] << np.uint64(k * width)
+        words[own] |= packed
     of_block = at // block
     n_words = np.bincount(of_block, minlength=blocks)
     raw_at = np.flatnonzero(sel == ESCAPE)

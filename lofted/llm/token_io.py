@@ -86,8 +86,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
         n = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = enc.encode(text.as_py()) + end
                 held[0].append(doc_id)
                 held[1].append(len(ids) // 4)
                 held[2].append(ids)
@@ -100,7 +100,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "file", "n_docs", "n_ids"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # rows that are alike in both are told apart by their place, so that a range can end among them
+    keyed = keyed.withColumn("nth", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return dealt.mapInArrow(write, _MANIFEST)
 
 
@@ -119,10 +121,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * cut[i] : 4 * cut[i + 1]]) for i in range(len(doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(cut[:-1] + before, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file, so this window holds a manifest, not documents
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long"))
-    files = placed.select("file", "before").repartition(max(1, min(manifest.count(), 10_000)), "file")
+    # ids before a task's files, of one row per task, and before a file among its task's
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    tasks = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    placed = manifest.withColumn("own", earlier(Window.partitionBy("part").orderBy("seq"))).join(tasks, "part")
+    files = placed.select("file", (F.col("base") + F.col("own")).alias("before")).repartition(max(1, min(manifest.count(), 10_000)), "file")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
