@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -95,8 +94,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 0,
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = enc.encode(text.as_py()) + end
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
@@ -126,10 +125,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 0, ca
     histogram = {r.length: r.n for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     where = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        lengths, ranks = length.to_numpy(), rank.to_numpy()
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        lengths, ranks = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         order = np.argsort(lengths, kind="stable")
         edges = np.flatnonzero(np.diff(lengths[order])) + 1
         for own in np.split(order, edges) if len(order) else []:
@@ -138,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 0, ca
             row = table[np.searchsorted(table[:, 0], ranks[own], "right") - 1]
             q = ranks[own] - row[:, 0]
             seq[own], off[own] = row[:, 1] + q // row[:, 2], row[:, 3] + (q % row[:, 2]) * size
-        return pd.DataFrame({"sequence_id": seq, "offset": off})
+        return pa.StructArray.from_arrays([pa.array(seq), pa.array(off)], ["sequence_id", "offset"])
 
     ranked = cut.join(base.select("part", "length", "base"), ["part", "length"]).withColumn("place", place("length", F.col("nth") + F.col("base")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
