@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import AIR_CONSTANT, CEILING_M, FLOOR_M, GAMMA, GAS_CONSTANT, GAS_MOLAR_MASS, LAYERS, POTENTIAL_RADIUS_M, SEA_LEVEL_PA, STANDARD_GRAVITY
@@ -44,22 +44,43 @@ def layer_index(h: Column) -> Column:
     return _by_layer(h, F.lit)
 
 
+def _of_layer(k: Column, values) -> Column:
+    """The value of layer k of a table by layer."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), k)
+
+
+_BASE_M, _BASE_K, _BASE_LAPSE = zip(*LAYERS)
+
+
+def _temperature(h: Column, k: Column) -> Column:
+    return _of_layer(k, _BASE_K) + _of_layer(k, _BASE_LAPSE) * (h - _of_layer(k, _BASE_M))
+
+
+def _pressure(h: Column, k: Column, t: Column) -> Column:
+    t0, lapse = _of_layer(k, _BASE_K), _of_layer(k, _BASE_LAPSE)
+    share = F.when(lapse == 0, F.exp(-_G_R * (h - _of_layer(k, _BASE_M)) / t0)).otherwise(F.pow(t0 / t, _G_R / lapse))
+    return _of_layer(k, BASE_PA) * share
+
+
+def with_state(df: DataFrame, z: Column) -> DataFrame:
+    """`df` with temperature_k, pressure_pa, density_kg_m3 and sound_ms at altitude
+    z; null outside -5 to 86 km.  The layer is found once and its values by index."""
+    own = df.withColumn("__h", F.when(z.between(FLOOR_M, CEILING_M), geopotential(z))).withColumn("__k", F.when(F.col("__h").isNotNull(), layer_index(F.col("__h"))))
+    own = own.withColumn("temperature_k", _temperature(F.col("__h"), F.col("__k"))).withColumn("pressure_pa", _pressure(F.col("__h"), F.col("__k"), F.col("temperature_k")))
+    t, p = F.col("temperature_k"), F.col("pressure_pa")
+    return own.withColumn("density_kg_m3", p / (AIR_CONSTANT * t)).withColumn("sound_ms", F.sqrt(GAMMA * AIR_CONSTANT * t)).drop("__h", "__k")
+
+
 def temperature(z: Column) -> Column:
     h = geopotential(z)
-    return F.when(z.between(FLOOR_M, CEILING_M), _by_layer(h, lambda k: LAYERS[k][1] + LAYERS[k][2] * (h - LAYERS[k][0])))
+    return F.when(z.between(FLOOR_M, CEILING_M), _temperature(h, layer_index(h)))
 
 
 def pressure(z: Column) -> Column:
     """Pa at geometric altitude z; null outside -5 to 86 km."""
     h = geopotential(z)
-
-    def law(k: int) -> Column:
-        h0, t0, lapse = LAYERS[k]
-        if lapse == 0:
-            return BASE_PA[k] * F.exp(-_G_R * (h - h0) / t0)
-        return BASE_PA[k] * F.pow(t0 / (t0 + lapse * (h - h0)), F.lit(_G_R / lapse))
-
-    return F.when(z.between(FLOOR_M, CEILING_M), _by_layer(h, law))
+    k = layer_index(h)
+    return F.when(z.between(FLOOR_M, CEILING_M), _pressure(h, k, _temperature(h, k)))
 
 
 def density(z: Column) -> Column:
@@ -71,18 +92,14 @@ def speed_of_sound(z: Column) -> Column:
 
 
 def pressure_altitude(p: Column) -> Column:
-    """Geometric altitude of a pressure by each layer's inverse; null outside the model."""
-
-    def inverse(k: int) -> Column:
-        h0, t0, lapse = LAYERS[k]
-        if lapse == 0:
-            return h0 - t0 / _G_R * F.log(p / BASE_PA[k])
-        return h0 + t0 / lapse * (F.pow(p / BASE_PA[k], F.lit(-lapse / _G_R)) - 1)
-
-    out = F.when(p > BASE_PA[1], inverse(0))
-    for k in range(1, len(LAYERS) - 1):
-        out = out.when(p > BASE_PA[k + 1], inverse(k))
-    z = geometric(out.otherwise(inverse(len(LAYERS) - 1)))
+    """Geometric altitude of a pressure by its layer's inverse; null outside the model."""
+    k = F.when(p > BASE_PA[1], 0)
+    for i in range(1, len(LAYERS) - 1):
+        k = k.when(p > BASE_PA[i + 1], i)
+    k = k.otherwise(len(LAYERS) - 1)
+    t0, lapse, share = _of_layer(k, _BASE_K), _of_layer(k, _BASE_LAPSE), p / _of_layer(k, BASE_PA)
+    rise = F.when(lapse == 0, -t0 / _G_R * F.log(share)).otherwise(t0 / lapse * (F.pow(share, -lapse / _G_R) - 1))
+    z = geometric(_of_layer(k, _BASE_M) + rise)
     return F.when((p > 0) & z.between(FLOOR_M - 1e-6, CEILING_M + 1e-6), z)
 
 

@@ -1,44 +1,87 @@
-"""Normal distribution and the three marginals of a design."""
+"""Normal distribution and the three marginals of a design, as Columns and in NumPy."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 LIMIT = 8.0
-_UNIT = NormalDist()
+#: Where the series of erf ends and the continued fraction of erfc begins, and the terms of each.
+_SPLIT, _SERIES, _FRACTION = 2.0, 40, 60
+# The rational approximations of algorithm AS 241 (numerator, denominator, from the highest power).
+_CENTRE = (
+    (2.50908092873012267e3, 3.34305755835881281e4, 6.72657709270087009e4, 4.59219539315498715e4, 1.37316937655094611e4, 1.97159095030655144e3, 1.33141667891784377e2, 3.38713287279636661e0),
+    (5.22649527885285456e3, 2.87290857357219427e4, 3.93078958000927106e4, 2.12137943015865959e4, 5.39419602142475111e3, 6.87187007492057908e2, 4.23133307016009113e1, 1.0),
+)
+_MIDDLE = (
+    (7.74545014278341408e-4, 2.27238449892691846e-2, 2.41780725177450612e-1, 1.27045825245236838e0, 3.64784832476320461e0, 5.76949722146069141e0, 4.63033784615654530e0, 1.42343711074968358e0),
+    (1.05075007164441684e-9, 5.47593808499534494e-4, 1.51986665636164572e-2, 1.48103976427480075e-1, 6.89767334985100005e-1, 1.67638483018380385e0, 2.05319162663775882e0, 1.0),
+)
+_TAIL = (
+    (2.01033439929228813e-7, 2.71155556874348758e-5, 1.24266094738807844e-3, 2.65321895265761231e-2, 2.96560571828504891e-1, 1.78482653991729133e0, 5.46378491116411437e0, 6.65790464350110378e0),
+    (2.04426310338993979e-15, 1.42151175831644589e-7, 1.84631831751005468e-5, 7.86869131145613259e-4, 1.48753612908506149e-2, 1.36929880922735805e-1, 5.99832206555887938e-1, 1.0),
+)
 
 
 def pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
-@F.pandas_udf(DoubleType())
-def cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore").astype(float)
+def _power_series(coefficients, x):
+    """A polynomial from its highest power down."""
+    out = coefficients[0]
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
 
 
-@F.pandas_udf(DoubleType())
-def upper_tail(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore").astype(float)
+def erfc(x: Column) -> Column:
+    """Complementary error function: the series of erf near 0, a continued fraction beyond."""
+    size = F.abs(x)
+    terms = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(_SERIES, -1, -1)]
+    near = 1 - 2 / math.sqrt(math.pi) * size * _power_series([F.lit(terms[0]), *terms[1:]], size * size)
+    below = size
+    for k in range(_FRACTION, 0, -1):
+        below = size + (k / 2) / below
+    far = F.exp(-size * size) / (math.sqrt(math.pi) * below)
+    tail = F.when(size < _SPLIT, near).otherwise(far)
+    return F.when(x < 0, 2 - tail).otherwise(tail)
 
 
-def inverse_np(u: np.ndarray) -> np.ndarray:
-    """Quantiles of the unit normal, held at plus and minus LIMIT; NaN outside [0, 1]."""
-    one = lambda p: -LIMIT if p <= 0 else LIMIT if p >= 1 else max(-LIMIT, min(LIMIT, _UNIT.inv_cdf(p)))
-    return np.array([one(p) if 0 <= p <= 1 else np.nan for p in np.asarray(u, float).ravel()]).reshape(np.shape(u))
+def cdf(x: Column) -> Column:
+    return erfc(-x / math.sqrt(2)) / 2
+
 
+def upper_tail(x: Column) -> Column:
+    return erfc(x / math.sqrt(2)) / 2
 
-@F.pandas_udf(DoubleType())
-def inverse_cdf(u: pd.Series) -> pd.Series:
-    return pd.Series(inverse_np(u.to_numpy(float)))
+
+def inverse_cdf(u: Column) -> Column:
+    """Quantile of the unit normal, held at plus and minus LIMIT; null outside [0, 1]."""
+    q = u - 0.5
+    ratio = lambda parts, r: _power_series([F.lit(parts[0][0]), *parts[0][1:]], r) / _power_series([F.lit(parts[1][0]), *parts[1][1:]], r)
+    r = F.sqrt(-F.log(F.least(u, 1 - u)))
+    outer = F.when(r <= 5, ratio(_MIDDLE, r - 1.6)).otherwise(ratio(_TAIL, r - 5))
+    x = F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q)).when(q < 0, -outer).otherwise(outer)
+    held = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), x))
+    return F.when((u > 0) & (u < 1), held).when(u == 0, -LIMIT).when(u == 1, LIMIT)
+
+
+def inverse_np(u: np.ndarray) -> np.ndarray:
+    """`inverse_cdf` in NumPy; NaN outside [0, 1]."""
+    u = np.asarray(u, float)
+    with np.errstate(all="ignore"):
+        q = u - 0.5
+        r = np.sqrt(-np.log(np.minimum(u, 1 - u)))
+        ratio = lambda parts, x: _power_series(parts[0], x) / _power_series(parts[1], x)
+        outer = np.where(r <= 5, ratio(_MIDDLE, r - 1.6), ratio(_TAIL, r - 5))
+        x = np.where(np.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q), np.where(q < 0, -outer, outer))
+        x = np.clip(np.where(u == 0, -LIMIT, np.where(u == 1, LIMIT, x)), -LIMIT, LIMIT)
+    return np.where((u >= 0) & (u <= 1), x, np.nan)
 
 
 def ellipse_scale(confidence: Column | float) -> Column:
@@ -57,6 +100,11 @@ class Distribution:
     low: float = -math.inf
     high: float = math.inf
 
+    @classmethod
+    def symmetric(cls, mean: float, sd: float, sigmas: float = 3.0) -> Distribution:
+        """A normal cut at so many standard deviations on either side."""
+        return cls("normal", mean, sd, mean - sigmas * sd, mean + sigmas * sd)
+
     @classmethod
     def relative(cls, mean: float, share: float, sigmas: float = 3.0, low: float = -math.inf, high: float = math.inf) -> Distribution:
         """A normal of sd `share * mean`, cut at `sigmas` and at hard bounds."""
@@ -70,6 +118,25 @@ class Distribution:
             return self.low + np.asarray(u) * (self.high - self.low)
         return np.clip(self.mean + self.sd * inverse_np(u), self.low, self.high)
 
+    def quantile_column(self, u: Column, z: Column | None = None) -> Column:
+        """Of u in (0, 1); z, if given, is the unit normal's quantile of it."""
+        if self.kind == "fixed":
+            return F.when(u.isNotNull(), F.lit(self.mean))
+        if self.kind == "uniform":
+            return self.low + u * (self.high - self.low)
+        return F.greatest(F.lit(self.low), F.least(F.lit(self.high), self.mean + self.sd * (inverse_cdf(u) if z is None else z)))
+
+    def cdf_column(self, x: Column) -> Column:
+        if self.kind == "fixed":
+            return F.when(x >= self.mean, 1.0).when(x < self.mean, 0.0)
+        inside = (x - self.low) / (self.high - self.low) if self.kind == "uniform" else cdf((x - self.mean) / self.sd)
+        return F.when(x < self.low, 0.0).when(x > self.high, 1.0).otherwise(inside)
+
+    @property
+    def spread(self) -> float:
+        """Standard deviation; of a uniform one its width over the root of 12."""
+        return (self.high - self.low) / math.sqrt(12) if self.kind == "uniform" else self.sd
+
     def cdf(self, x: float) -> float:
         """The untruncated distribution inside the bounds, 0 below and 1 above."""
         if self.kind == "fixed":

@@ -1,40 +1,54 @@
-"""Interpolating lookups by range joins."""
+"""Interpolating lookups in sorted nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def intervals(nodes: DataFrame, x: str, ys: list[str], by: list[str] | None = None) -> DataFrame:
-    """Rows (by, lo, hi, y_lo, y_hi, held) between sorted nodes, with open ends that hold the outer values."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(x)
-    nxt = nodes.select(*by, F.col(x).cast("double").alias("lo"), F.lead(F.col(x).cast("double")).over(w).alias("hi"), *[c for y in ys for c in (F.col(y).alias(f"{y}_lo"), F.lead(y).over(w).alias(f"{y}_hi"))], (F.row_number().over(w) == 1).alias("__first"))
-    last = nxt.select(*by, "lo", F.coalesce("hi", F.lit(float("inf"))).alias("hi"), *[c for y in ys for c in (F.col(f"{y}_lo"), F.coalesce(f"{y}_hi", f"{y}_lo").alias(f"{y}_hi"))], F.col("hi").isNull().alias("held"))
-    first = nxt.where("__first").select(*by, F.lit(float("-inf")).alias("lo"), F.col("lo").alias("hi"), *[c for y in ys for c in (F.col(f"{y}_lo"), F.col(f"{y}_lo").alias(f"{y}_hi"))], F.lit(True).alias("held"))
-    return last.unionByName(first)
+from .ranges import cut_points, range_of
 
 
 def lookup(df: DataFrame, at: Column, nodes: DataFrame, x: str, ys: list[str], by: list[str] | None = None) -> DataFrame:
-    """`df` with each y interpolated at `at`, held outside the nodes, and
-    `extrapolated` for strictly outside.  Spark broadcasts the nodes when small."""
+    """`df` with each y of sorted nodes interpolated at `at`, held outside them, and
+    `extrapolated` for strictly outside.
+
+    Each distinct place meets the nodes next to it in one sorted range of places
+    and nodes; a range without one takes that of the ranges before or after, so
+    neither side is broadcast and no range holds all.  Null places give nulls;
+    nodes without x are left out, and of equal x only one may stand in a group.
+    """
     by = by or []
-    table = intervals(nodes, x, ys, by)
-    left = df.withColumn("__at", at)
-    on = (left["__at"] >= table["lo"]) & (left["__at"] < table["hi"])
-    for c in by:
-        on = on & (left[c] == table[c])
-    share = F.when(F.col("held"), 0.0).otherwise((F.col("__at") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    found = [(F.col(f"{y}_lo") + share * (F.col(f"{y}_hi") - F.col(f"{y}_lo"))).alias(y) for y in ys]
-    return left.join(table, on, "left").select(*[left[c] for c in df.columns], *found, (F.col("held") & (F.col("__at") != F.col("lo"))).alias("extrapolated"))
+    keys = [f"__by{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    own = nodes.select(*named, F.col(x).cast("double").alias("__x"), F.struct(F.col(x).cast("double").alias("x"), *ys).alias("__node")).where("__x is not null")
+    cuts = cut_points(own, "__x")
+    left = df.withColumn("__place", at.cast("double"))
+    places = left.select(*named, F.col("__place").alias("__x")).where("__x is not null").distinct()
+    both = own.withColumn("__kind", F.lit(0)).unionByName(places.withColumn("__kind", F.lit(1)), allowMissingColumns=True).withColumn("__range", range_of(F.col("__x"), cuts))
+    w = Window.partitionBy(*keys, "__range")
+    near = both.withColumn("__low", F.last("__node", True).over(w.orderBy("__x", "__kind").rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("__high", F.last("__node", True).over(w.orderBy(F.desc("__x"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0))).where("__kind = 1")
+    # the last node before each range and the first after it; a group has a row for each of its ranges
+    ends = both.groupBy(*keys, "__range").agg(F.max_by("__node", F.when(F.col("__kind") == 0, F.col("__x"))).alias("__last"), F.min_by("__node", F.when(F.col("__kind") == 0, F.col("__x"))).alias("__first"))
+    run = Window.partitionBy(*keys)
+    ends = ends.withColumn("__before", F.last("__last", True).over(run.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("__after", F.last("__first", True).over(run.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select(*[F.col(k).alias(k + "e") for k in keys], F.col("__range").alias("__rangee"), "__before", "__after")
+    on = F.col("__range") == F.col("__rangee")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(k + "e"))
+    low, high = F.coalesce("__low", "__before"), F.coalesce("__high", "__after")
+    found = near.join(ends, on).select(*keys, "__x", low.alias("__low"), high.alias("__high"))
+    share = (F.col("__x") - F.col("__low.x")) / (F.col("__high.x") - F.col("__low.x"))
+    value = lambda y: F.coalesce(F.col(f"__low.{y}") + share * (F.col(f"__high.{y}") - F.col(f"__low.{y}")), F.col(f"__low.{y}"), F.col(f"__high.{y}"))
+    outside = F.col("__low").isNull() | (F.col("__high").isNull() & (F.col("__x") != F.col("__low.x")))
+    made = found.where("__low is not null or __high is not null").select(*keys, F.col("__x").alias("__at"), *[value(y).alias(f"__y{i}") for i, y in enumerate(ys)], outside.alias("__out"))
+    on = F.col("__place") == F.col("__at")
+    for c, k in zip(by, keys):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return left.join(made, on, "left").select(*df.columns, *[F.col(f"__y{i}").alias(y) for i, y in enumerate(ys)], F.col("__out").alias("extrapolated"))
 
 
 def nearest(df: DataFrame, by: list[str], at: Column, target: Column, value: str) -> DataFrame:
     """`value` of the row nearest to a target, the first of equal ones."""
     return df.groupBy(*by).agg(F.min_by(value, F.struct(F.abs(at - target), at)).alias(value))
-
-
-def first_at_or_above(df: DataFrame, by: list[str], order: str, value: str, level: float) -> DataFrame:
-    """The first row (by `order`) whose value has reached a level."""
-    return df.where(F.col(value) >= level).groupBy(*by).agg(F.min_by(F.struct(*df.columns), order).alias("__r")).select("__r.*")

@@ -64,3 +64,15 @@ def error_reduction(frozen: Column, live: Column) -> Column:
 def failure_budget(n: int) -> int:
     """Failures that an ensemble may have."""
     return max(1, n // 100)
+
+
+def tampered(rows: DataFrame, stored: str, *columns: str) -> DataFrame:
+    """Rows whose stored digest is not that of their columns."""
+    return rows.where(~identity(*columns).eqNullSafe(F.col(stored)))
+
+
+def recovery(bands: DataFrame, truth: DataFrame, key: list[str], by: list[str], tolerance: float) -> DataFrame:
+    """Of estimated flights (low, median, high) with a `truth`: how many there are, how
+    many bands cover it, and how many medians are within a tolerance."""
+    joined = bands.join(truth, key)
+    return joined.groupBy(*by).agg(F.count("*").alias("flights"), F.count_if(F.col("truth").between(F.col("low"), F.col("high"))).alias("covered"), F.count_if(F.abs(F.col("truth") - F.col("median")) <= tolerance).alias("recovered"))

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.gauss import Distribution
+from ..functions.gauss import Distribution, inverse_cdf
 
 
 def uniform(seed: Column | int, *keys: Column) -> Column:
@@ -24,24 +22,39 @@ def normal(seed: Column | int, *keys: Column) -> Column:
     return radius * F.cos(2 * math.pi * uniform(seed, F.lit(1), *keys))
 
 
+#: log2 of the ranges of hashes that strata are counted in.
+_RANGE_BITS = 7
+
+
 def unit_design(spark: SparkSession, n: int, dims: int, seed: int) -> DataFrame:
-    """(member, dim, u): per dimension one point in each of n strata, jittered, off 0 and 1."""
-    rows = spark.range(n).withColumnRenamed("id", "member").select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))).alias("dim"))
-    order = Window.partitionBy("dim").orderBy(F.xxhash64(F.lit(seed), "dim", "member"), "member")
-    stratum = F.row_number().over(order) - 1
-    u = (stratum + uniform(seed + 1, F.col("dim"), F.col("member"))) / n
-    return rows.withColumn("u", F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12)))
+    """(member, dim, u): per dimension one point in each of n strata, jittered, off 0 and 1.
 
+    A stratum is the rank of a hash, counted in ranges of hashes and within each.
+    """
+    rows = spark.range(n).withColumnRenamed("id", "member").select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))).alias("dim"))
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), "dim", "member")).withColumn("__r", F.shiftright("__h", 64 - _RANGE_BITS))
+    before = Window.partitionBy("dim").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("dim", "__r").agg(F.count("*").alias("__n")).select("dim", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = rows.withColumn("__own", F.row_number().over(Window.partitionBy("dim", "__r").orderBy("__h", "member")) - 1)
+    u = (F.col("__base") + F.col("__own") + uniform(seed + 1, F.col("dim"), F.col("member"))) / n
+    return own.join(base, ["dim", "__r"]).select("member", "dim", F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12)).alias("u"))
 
-def design(spark: SparkSession, n: int, spec: list[tuple[str, Distribution]], seed: int) -> DataFrame:
-    """(member, one column per name): a Latin hypercube through the marginals."""
-    wide = unit_design(spark, n, len(spec), seed).groupBy("member").pivot("dim", list(range(len(spec)))).agg(F.first("u"))
 
-    def through(d: Distribution):
-        @F.pandas_udf("double")
-        def f(u: pd.Series) -> pd.Series:
-            return pd.Series(np.asarray(d.quantile(u.to_numpy(float)), float))
+def designs(groups: DataFrame, by: list[str], n: int, dims: int, seed: Column) -> DataFrame:
+    """(by, member, dim, u): a unit design of n members for each row of many groups."""
+    sequence = lambda k: F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
+    rows = groups.select(*by, seed.alias("__seed"), F.explode(sequence(n)).alias("member")).select("*", F.explode(sequence(dims)).alias("dim"))
+    order = Window.partitionBy(*by, "dim").orderBy(F.xxhash64("__seed", "dim", "member"), "member")
+    u = (F.row_number().over(order) - 1 + uniform(F.col("__seed") + 1, F.col("dim"), F.col("member"))) / n
+    return rows.select(*by, "member", "dim", F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12)).alias("u"))
 
-        return f
 
-    return wide.select("member", *[through(d)(F.col(str(k))).alias(name) for k, (name, d) in enumerate(spec)])
+def design(spark: SparkSession, n: int, spec: list[tuple[str, Distribution]], seed: int) -> DataFrame:
+    """(member, one column per name): a Latin hypercube through the marginals."""
+    long = unit_design(spark, n, len(spec), seed).withColumn("z", inverse_cdf(F.col("u")))
+    value = F.when(F.lit(False), F.lit(0.0))
+    for k, (_, d) in enumerate(spec):
+        value = value.when(F.col("dim") == k, d.quantile_column(F.col("u"), F.col("z")))
+    names = [name for name, _ in spec]
+    named = long.select("member", F.get(F.array(*map(F.lit, names)), F.col("dim").cast("int")).alias("name"), value.alias("value"))
+    return named.groupBy("member").pivot("name", names).agg(F.first("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +61,60 @@ def stride(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where((F.col("__r") - 1) % n == 0).drop("__r")
 
 
-def throttle(df: DataFrame, by: list[str], seconds: str, gap: float = 50.0, force: Column | None = None) -> DataFrame:
-    """Greedy: a row fires if `gap` seconds passed since the last that fired, or if
-    it is forced.  A series is folded over its ordered array, so it must fit a row."""
-    item = F.struct(F.col(seconds).cast("double").alias("s"), (F.lit(False) if force is None else F.coalesce(force, F.lit(False))).alias("f"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("fired"))
+def window(by: list[str], *order: str):
+    """The window of a series, in order if one is given."""
+    own = Window.partitionBy(*by)
+    return own.orderBy(*order) if order else own
 
-    def step(acc: Column, x: Column) -> Column:
-        fire = acc["last"].isNull() | (x["s"] - acc["last"] >= gap) | x["f"]
-        return F.when(fire, F.struct(x["s"].alias("last"), F.concat(acc["fired"], F.array(x["s"])).alias("fired"))).otherwise(acc)
 
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__a"))
-    return series.select(*by, F.explode(F.aggregate("__a", start, step)["fired"]).alias("fired_s"))
+def throttle(df: DataFrame, by: list[str], seconds: str, gap: float = 50.0, force: Column | None = None) -> DataFrame:
+    """Greedy: a row fires if `gap` seconds passed since the last that fired, or if
+    it is forced: by, fired_s.  Rows without seconds do not fire; of equal seconds
+    one does.  What fires depends on what fired, so each task goes through its
+    series in order of time, keeping only the last that fired."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    forced = F.lit(False) if force is None else F.coalesce(force, F.lit(False))
+    rows = df.select(*by, F.col(seconds).cast("double").alias("__s"), forced.alias("__f")).where("__s is not null")
+    dealt = (rows.repartition(*[F.col(c) for c in by]) if by else rows.coalesce(1)).sortWithinPartitions(*by, "__s", F.desc("__f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0.0
+        for b in batches:
+            fires = []
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) if by else [()] * b.num_rows
+            for k, s, f in zip(keys, b.column(len(by)).to_pylist(), b.column(len(by) + 1).to_pylist()):
+                fire = k != key or s - last >= gap or (f and s != last)
+                if fire:
+                    key, last = k, s
+                fires.append(fire)
+            yield b.select([*range(len(by)), len(by)]).filter(pa.array(fires, pa.bool_()))
+
+    return dealt.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["__s double"])).withColumnRenamed("__s", "fired_s")
 
 
 def anomalies(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of duplicates, inversions, dropouts and rejects of flagged rows."""
+    """Counts of kept rows and of their flags: out of order, dropouts, derived altitudes."""
     flag = lambda bit: F.count_if(F.col("flags").bitwiseAND(bit) != 0)
-    return df.groupBy(*by).agg(flag(1).alias("inverted"), flag(2).alias("dropouts"), flag(4).alias("from_pressure"), F.count("*").alias("kept"))
+    return df.groupBy(*by).agg(F.count("*").alias("kept"), flag(1).alias("inverted"), flag(2).alias("dropouts"), flag(4).alias("from_pressure"))
+
+
+def placed(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """`df` with `place`, from 1, in the order of its group."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def lag_s(detected: str = "detected_s", peak: str = "peak_s") -> Column:
+    """Seconds from the peak to its detection."""
+    return F.col(detected) - F.col(peak)
+
+
+def first_above(df: DataFrame, by: list[str], order: list[str], value: str, level: float, columns: list[str]) -> DataFrame:
+    """The columns of each series' first row whose value has reached a level."""
+    return df.where(F.col(value) >= level).groupBy(*by).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__r")).select(*by, "__r.*")
+
+
+def summary(states: DataFrame, by: list[str]) -> DataFrame:
+    """Per trajectory (s, lat, lon, alt_m, phase, wind_extrapolated): apogee, duration,
+    burst and landing where there are some, states with wind held, and states."""
+    at = lambda phase, c: F.max(F.when(F.col("phase") == phase, F.col(c)))
+    return states.groupBy(*by).agg(F.max("alt_m").alias("apogee_m"), F.max("s").alias("duration_s"), at("BURST", "alt_m").alias("burst_alt_m"), at("BURST", "s").alias("burst_s"), at("LANDED", "lat").alias("landing_lat"), at("LANDED", "lon").alias("landing_lon"), F.count_if("wind_extrapolated").alias("wind_held"), F.count("*").alias("states"))

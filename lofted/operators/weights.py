@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import PARTS, running
+
 
 def log_normalise(df: DataFrame, by: list[str], log_weight: str, out: str = "w") -> DataFrame:
     """Weights that sum to one from log weights; null or -inf weighs nothing, and
-    where all are so, all weigh the same."""
-    own = Window.partitionBy(*by)
+    where all are so, all weigh the same.  Groups are totalled, not gathered."""
     raw = F.nanvl(F.coalesce(F.col(log_weight).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
-    top = F.max(raw).over(own)
-    shifted = df.withColumn("__x", F.when(top == float("-inf"), 1.0).otherwise(F.exp(raw - top)))
-    return shifted.withColumn(out, F.col("__x") / F.sum("__x").over(own)).drop("__x")
+    names = [f"__by{i}" for i in range(len(by))]
+    tops = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(F.max(raw).alias("__top"))
+    same = lambda side: [F.col(c).eqNullSafe(side[n]) for c, n in zip(by, names)] or [F.lit(True)]
+    x = F.when(F.col("__top") == float("-inf"), 1.0).otherwise(F.exp(raw - F.col("__top")))
+    shifted = df.join(tops, _all(same(tops))).withColumn("__x", x).drop(*names, "__top")
+    sums = shifted.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(F.sum("__x").alias("__sum"))
+    return shifted.join(sums, _all(same(sums))).withColumn(out, F.col("__x") / F.col("__sum")).drop(*names, "__x", "__sum")
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def effective_size(weight: str = "w") -> Column:
@@ -24,12 +35,33 @@ def degenerate(ess: Column, n: Column) -> Column:
     return ess < n / 10
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, levels: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+def covers(value: Column, low: Column, high: Column) -> Column:
+    """Whether a band holds a value."""
+    return (value >= low) & (value <= high)
+
+
+def width(low: Column, high: Column) -> Column:
+    return high - low
+
+
+def scatter(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per sample: n, mean, sd and the coefficient of variation."""
+    own = df.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return own.withColumn("cv", F.col("sd") / F.col("mean"))
+
+
+def convergence(n: str, sd: str) -> Column:
+    """Slope of scatter against size, both logarithmic."""
+    return F.regr_slope(F.log(F.col(sd)), F.log(F.col(n)))
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, levels: tuple[float, ...] = (0.05, 0.5, 0.95), parts: int = PARTS) -> DataFrame:
     """Of each level the first value (in order) whose running share of the weight
-    reaches it, else the greatest."""
-    w = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("__c", F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy(*by)))
-    return run.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("__c") >= p, F.col(value))), F.max(value)).alias(f"q{round(p * 100):02d}") for p in levels])
+    reaches it, else the greatest.  Equal values are one step; where groups are
+    many and small, `parts` of 1 saves cutting them into ranges."""
+    steps = df.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    run = running(steps, by, [value], {"__c": F.col("__w")}, parts).withColumn("__share", F.col("__c") / F.col("__c_total"))
+    return run.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("__share") >= p, F.col(value))), F.max(value)).alias(f"q{round(p * 100):02d}") for p in levels])
 
 
 def moments(df: DataFrame, by: list[str], names: list[str], weight: str = "w", floor: float = 0.0) -> DataFrame:
@@ -43,14 +75,15 @@ def moments(df: DataFrame, by: list[str], names: list[str], weight: str = "w", f
 
 def resample(df: DataFrame, by: list[str], order: list[str], weight: str = "w", u: float = 0.5, out: str = "copy") -> DataFrame:
     """Systematic resampling of each group to its own size with the draw `u`: a row
-    for each copy.  The last row takes up what rounding leaves."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    c = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    upper = F.when(F.lead(F.lit(1)).over(w).isNull(), n - 1).otherwise(F.least(n - 1, F.floor(n * c - u)))
-    counted = df.withColumn("__hi", upper).withColumn("__lo", F.coalesce(F.lag("__hi").over(w), F.lit(-1)))
-    many = counted.where("__hi > __lo")
-    return many.withColumn(out, F.explode(F.sequence(F.lit(1), (F.col("__hi") - F.col("__lo")).cast("int")))).drop("__hi", "__lo")
+    for each copy.  Weights need not sum to one; `order` tells the rows apart and
+    begins with a number.  The last row takes up what rounding leaves."""
+    run = running(df, by, order, {"__c": F.col(weight), "__k": F.lit(1).cast("long")})
+    n = F.col("__k_total")
+    place = lambda c: F.floor(n * (F.col(c) / F.col("__c_total")) - u)
+    high = F.when(F.col("__k") == n, n - 1).otherwise(F.least(n - 1, place("__c")))
+    low = F.when(F.col("__k") == 1, F.lit(-1).cast("long")).otherwise(F.least(n - 1, place("__c_before")))
+    counted = run.withColumn("__copies", high - low).where("__copies > 0")
+    return counted.withColumn(out, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns, out)
 
 
 def pool(df: DataFrame, by: list[str], part: str, weight: str = "w") -> DataFrame:
