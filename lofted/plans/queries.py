@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import atmos, gauss, geo, units
+from ..functions import atmos, geo, units
 from ..functions.constants import EARTH_RADIUS_M, LAYERS, LENGTH_M, POTENTIAL_RADIUS_M
 from ..operators import ellipse as el
 from ..operators import interp, quality, sample, series, weights
@@ -143,9 +143,7 @@ def containment(spark, sf):
 c as (select *, sum(w) over (partition by l_returnflag order by v) / sum(w) over (partition by l_returnflag) c from g)
 select l_returnflag, min(case when c >= 0.05 then v end) q05, min(case when c >= 0.5 then v end) q50, min(case when c >= 0.95 then v end) q95 from c group by 1""")
 def weighted_quantile(spark, sf):
-    # equal values are one step, so they are summed before the window
-    g = read(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_extendedprice").alias("v")).agg(F.sum("l_quantity").alias("w"))
-    return weights.weighted_quantiles(g, ["l_returnflag"], "v", "w")
+    return weights.weighted_quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
 
 
 @query("""with w as (select l_linenumber, exp(l_discount) / sum(exp(l_discount)) over (partition by l_linenumber) w from lineitem)
@@ -162,8 +160,7 @@ l as (select *, coalesce(lag(hi) over (partition by s_nationkey order by s_suppk
 select s_suppkey, unnest(range(1, cast(hi - lo + 1 as bigint)))::int as copy from l where hi > lo""")
 def systematic_resample(spark, sf):
     b = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.round((F.col("s_acctbal") + 1000) * 100).cast("long").alias("k"))
-    c = b.withColumn("w", F.col("k") / F.sum("k").over(Window.partitionBy("s_nationkey")))
-    return weights.resample(c, ["s_nationkey"], ["s_suppkey"], "w", 0.25).select("s_suppkey", "copy")
+    return weights.resample(b, ["s_nationkey"], ["s_suppkey"], "k", 0.25).select("s_suppkey", "copy")
 
 
 @query("""with w as (select l_returnflag, l_linenumber, l_tax v, l_quantity / sum(l_quantity) over (partition by l_returnflag, l_linenumber) w from lineitem)
@@ -250,15 +247,14 @@ _STATE = f"select l_orderkey, l_linenumber, z, {_sql_layers(lambda k: f'{LAYERS[
 
 @query(f"select l_orderkey, l_linenumber, round(t, 4) temperature_k, round(p, 3) pressure_pa, round(p / ({atmos.AIR_CONSTANT!r} * t), 7) density_kg_m3, round(sqrt({1.4 * atmos.AIR_CONSTANT!r} * t), 4) sound_ms from ({_STATE})")
 def atmosphere(spark, sf):
-    z = F.col("z")
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") % 86000).alias("z"))
-    return li.select("l_orderkey", "l_linenumber", F.round(atmos.temperature(z), 4).alias("temperature_k"), F.round(atmos.pressure(z), 3).alias("pressure_pa"), F.round(atmos.density(z), 7).alias("density_kg_m3"), F.round(atmos.speed_of_sound(z), 4).alias("sound_ms"))
+    return atmos.with_state(li, F.col("z")).select("l_orderkey", "l_linenumber", *[F.round(c, d).alias(c) for c, d in (("temperature_k", 4), ("pressure_pa", 3), ("density_kg_m3", 7), ("sound_ms", 4))])
 
 
 @query(f"select l_orderkey, l_linenumber, round(z, 4) altitude_m from ({_Z})")
 def pressure_altitude(spark, sf):
-    z = F.col("l_extendedprice") % 86000
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(atmos.pressure_altitude(atmos.pressure(z)), 4).alias("altitude_m"))
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") % 86000).alias("z"))
+    return atmos.with_state(li, F.col("z")).select("l_orderkey", "l_linenumber", F.round(atmos.pressure_altitude(F.col("pressure_pa")), 4).alias("altitude_m"))
 
 
 @query("""with w as (select l_orderkey, l_linenumber, -l_quantity * sin(radians(l_discount * 3600)) e, -l_quantity * cos(radians(l_discount * 3600)) n from lineitem)
@@ -327,16 +323,11 @@ def lhs_strata(spark, sf):
     return u.select("dim", F.floor(F.col("u") * 200).alias("stratum")).groupBy("dim", "stratum").agg(F.count("*").alias("n"))
 
 
-@query()
-def normal_cdf(spark, sf):
-    return read(spark, sf, "supplier").select("s_suppkey", gauss.cdf(F.col("s_acctbal") / 1000).alias("p"))
-
-
 @query()
 def simulate_flight(spark, sf):
     from . import sim
 
-    return sim.ensemble(spark, 100, 7, sim.Config(), sim.Settings(step_s=0.5))
+    return sim.ensemble(spark, 1000, 7, sim.Config(), sim.Settings())
 
 
 @query()
@@ -353,3 +344,6 @@ def filter_bank(spark, sf):
 
     log = sim.synthetic_log(spark, sim.Config(), sim.Settings(step_s=0.5), seed=5, every=120)
     return bank.run(log, sim.Config(), sim.Settings(step_s=0.5), filters=4, particles=25)
+
+
+from . import queries_domain  # noqa: E402,F401  registers its queries

@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ellipse import ring
+from ..operators.ellipse import area_m2, ring
 
 
-def trajectory_csv(states: DataFrame, path: str) -> None:
-    """run_id, s, lat, lon, alt_m, vz_ms, phase with fixed decimals."""
-    fixed = states.select("run_id", *[F.format_string(f"%.{d}f", c).alias(c) for c, d in (("s", 2), ("lat", 6), ("lon", 6), ("alt_m", 2), ("vz_ms", 3))], "phase")
-    fixed.write.mode("overwrite").csv(path, header=True)
+def fixed(name: str, decimals: int) -> Column:
+    """A number with fixed decimals as text; blank where there is none."""
+    return F.when(F.col(name).isNotNull(), F.format_string(f"%.{decimals}f", F.col(name).cast("double"))).otherwise("").alias(name)
 
 
-def scatter_csv(members: DataFrame, path: str) -> None:
-    """Landings; failed members stay, with blanks and their status."""
-    cols = [F.when(F.col("status") == "OK", F.format_string("%.6f", c)).alias(c) for c in ("lat", "lon")]
-    members.select("member", *cols, "status").orderBy("member").write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+def trajectory_rows(states: DataFrame) -> DataFrame:
+    """run_id and the columns of a trajectory file, as text."""
+    numbers = [fixed(c, d) for c, d in (("s", 3), ("lat", 7), ("lon", 7), ("alt_m", 3), ("vz_ms", 4), ("diameter_m", 4))]
+    return states.select("run_id", *numbers, "phase", F.col("wind_extrapolated").cast("int").cast("string").alias("wind_extrapolated"))
 
 
-def ellipse_csv(ellipses: DataFrame, path: str) -> None:
-    ellipses.write.mode("overwrite").csv(path, header=True)
+def scatter_rows(members: DataFrame) -> DataFrame:
+    """Landings as text; failed members stay, with blanks and their status."""
+    ok = F.col("status") == "OK"
+    told = members.withColumns({c: F.when(ok, F.col(c)) for c in ("lat", "lon", "burst_alt_m")})
+    numbers = [fixed(c, d) for c, d in (("lat", 7), ("lon", 7), ("burst_alt_m", 1), ("free_lift_kg", 6), ("ascent_cd", 6), ("burst_diameter_m", 6), ("chute_cd", 6), ("wind_scale", 6))]
+    return told.select("member", *numbers, F.when(ok, "OK").otherwise("FAILED").alias("status"))
+
+
+def ellipse_rows(ellipses: DataFrame) -> DataFrame:
+    """run_id and the columns of an ellipse file, as text."""
+    own = ellipses.withColumn("area_km2", area_m2() / 1e6)
+    return own.select("run_id", *[fixed(c, d) for c, d in (("confidence", 4), ("centre_lat", 7), ("centre_lon", 7), ("semi_major_m", 2), ("semi_minor_m", 2), ("azimuth_deg", 3), ("area_km2", 4))], F.col("n").cast("string").alias("member_count"))
+
+
+def summary_rows(runs: DataFrame) -> DataFrame:
+    """One line per trajectory summary (`series.summary`), as text."""
+    return runs.select("run_id", *[fixed(c, d) for c, d in (("burst_alt_m", 1), ("burst_s", 1), ("landing_lat", 7), ("landing_lon", 7), ("duration_s", 1), ("apogee_m", 1))], F.col("states").cast("string").alias("states"), F.col("wind_held").cast("string").alias("wind_held"))
+
+
+def manifest_rows(truths: DataFrame) -> DataFrame:
+    """The line of each generated flight, as text."""
+    return truths.select("name", F.col("seed").cast("string").alias("seed"), *[fixed(c, d) for c, d in (("free_lift_kg", 6), ("ascent_cd", 6), ("burst_diameter_m", 6), ("chute_cd", 6), ("wind_scale", 6), ("burst_alt_m", 1), ("landing_lat", 7), ("landing_lon", 7))], F.col("sample_count").cast("string").alias("sample_count"))
+
+
+def telemetry_rows(samples: DataFrame) -> DataFrame:
+    """Lines of telemetry files, as text: flight, packet_id, epoch_utc, lat, lon, alt_gps_m
+    (blank in dropouts), pressure_pa and temperature_k."""
+    named = samples.withColumn("alt_gps_m", F.col("alt_m"))
+    return named.select("flight", "packet_id", F.date_format("epoch_utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("epoch_utc"), *[fixed(c, d) for c, d in (("lat", 6), ("lon", 6), ("alt_gps_m", 1), ("pressure_pa", 1), ("temperature_k", 2))])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows of text as CSV files with a header; blanks stay blank."""
+    rows.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def truth_json(truths: DataFrame, *columns: str) -> DataFrame:
+    """`truths` with the columns as one JSON text, nulls told."""
+    return truths.withColumn("truth_json", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
 def summary(members: DataFrame) -> DataFrame:
-    """One row: members, failures, mean burst altitude and flight time of the others."""
+    """One row: members, failures and their rate, whether the budget allows them, mean
+    burst altitude and flight time of the others."""
     ok = F.col("status") == "OK"
-    return members.agg(F.count("*").alias("members"), F.count_if(~ok).alias("failed"), F.avg(F.when(ok, F.col("burst_alt_m"))).alias("mean_burst_alt_m"), F.avg(F.when(ok, F.col("landing_s"))).alias("mean_flight_s"))
+    n, bad = F.count("*"), F.count_if(~ok)
+    budget = F.greatest(F.lit(1), F.floor(n / 100))
+    return members.agg(n.alias("members"), bad.alias("failed"), (bad / n).alias("failure_rate"), (bad <= budget).alias("within_budget"), F.avg(F.when(ok, F.col("burst_alt_m"))).alias("mean_burst_alt_m"), F.avg(F.when(ok, F.col("landing_s"))).alias("mean_flight_s"))
+
+
+def console_checks(checks: DataFrame) -> DataFrame:
+    """case_name and the line of a validation's table for each case of `quality.summarise_checks`."""
+    line = F.format_string("  %-10s %3d checks, tolerance %.3f%% worst %.5f%% %s", "case_name", F.col("checks"), F.col("tolerance") * 100, F.col("worst") * 100, F.when(F.col("passed"), "PASS").otherwise("FAIL"))
+    return checks.select("case_name", line.alias("line"))
 
 
 def _feature(geometry, **properties):
@@ -43,6 +88,22 @@ def footprint_geojson(ellipses: DataFrame) -> DataFrame:
     return ellipses.select(F.format_string('{"type":"FeatureCollection","features":[%s,%s]}', *both).alias("value"))
 
 
+def point_feature(name: Column, lon: Column, lat: Column, alt: Column) -> Column:
+    """A named GeoJSON point; GeoJSON puts the longitude first."""
+    return F.format_string('{"type":"Feature","properties":{"name":"%s"},"geometry":{"type":"Point","coordinates":[%.7f,%.7f,%.1f]}}', name, lon, lat, alt)
+
+
+def footprint_features(ellipses: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """by and one GeoJSON feature a row (kind: ellipse, centre or member): rings of
+    ellipses, their centres, and the landings of members; failed members have none."""
+    corner = F.transform(ring(), lambda p: F.format_string("[%.7f,%.7f]", p["lon"], p["lat"]))
+    name = F.format_string("%.0f%%", F.col("confidence") * 100)
+    polygon = F.format_string('{"type":"Feature","properties":{"name":"%s ellipse"},"geometry":{"type":"Polygon","coordinates":[[%s]]}}', name, F.concat_ws(",", corner))
+    centre = point_feature(F.concat(F.lit("centre "), name), F.col("centre_lon"), F.col("centre_lat"), F.lit(0.0))
+    landed = members.where("status = 'OK'").select(*by, F.lit("member").alias("kind"), point_feature(F.format_string("member %d", "member"), F.col("lon"), F.col("lat"), F.col("alt_m")).alias("feature"))
+    return ellipses.select(*by, F.lit("ellipse").alias("kind"), polygon.alias("feature")).unionByName(ellipses.select(*by, F.lit("centre").alias("kind"), centre.alias("feature"))).unionByName(landed)
+
+
 def flight_geojson(states: DataFrame) -> DataFrame:
     """run_id and one GeoJSON text per run: the track and its burst and landing points."""
     track = F.array_sort(F.collect_list(F.struct("s", "lon", "lat", "alt_m", "phase")))

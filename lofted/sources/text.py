@@ -9,6 +9,7 @@ from ..functions import atmos
 from ..functions.constants import CELSIUS_ZERO_K
 from ..functions.geo import knots, wind_components
 from ..operators.quality import DROPOUT, FROM_PRESSURE, INVERTED, set_flag
+from ..operators.series import anomalies
 
 
 class DataFormatError(ValueError):
@@ -34,16 +35,33 @@ def lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
     """file, sha256, line (from 1), text of each line of the files at `path`."""
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", charset)
-    return files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.posexplode(F.split(text, "\\R")).alias("i", "text")).select("file", "sha256", (F.col("i") + 1).alias("line"), "text")
+    return files.select(F.col("path").alias("file"), digest(F.col("content")).alias("sha256"), F.posexplode(F.split(text, "\\R")).alias("i", "text")).select("file", "sha256", (F.col("i") + 1).alias("line"), "text")
+
+
+def digest(content: Column) -> Column:
+    """SHA-256 of a file's bytes."""
+    return F.sha2(content, 256)
+
+
+def present(c: Column) -> Column:
+    """A trimmed token; null where it stands for an absent value."""
+    return F.when(~F.lower(F.trim(c)).isin("", "nan", "-"), F.trim(c))
 
 
 def optional_number(c: Column) -> Column:
-    """A number; null for an absent token and for what is none."""
-    return F.when(~F.lower(F.trim(c)).isin("", "nan", "-"), F.trim(c).try_cast("double"))
+    """A number; null for an absent token, and for one that is no number (see `is_junk`)."""
+    return present(c).try_cast("double")
+
+
+def is_junk(c: Column) -> Column:
+    """Whether a token is neither absent nor a number."""
+    return present(c).isNotNull() & present(c).try_cast("double").isNull()
 
 
 def instant(c: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(F.trim(c)), F.try_to_timestamp(F.concat(F.trim(c), F.lit("Z"))))
+    """An ISO-8601 instant; one without a zone is UTC."""
+    own = F.trim(c)
+    return F.when(own.rlike(r"^\d{4}-\d\d-\d\dT"), F.coalesce(F.try_to_timestamp(F.concat(own, F.lit("Z"))), F.try_to_timestamp(own)))
 
 
 def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,38 +74,65 @@ def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     the one kept before it is flagged; a missing altitude is flagged and, where
     there is a pressure, derived from it.
     """
-    body = lines(spark, path).where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
+    return parse_telemetry(lines(spark, path))
+
+
+def parse_telemetry(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`read_telemetry` of lines that have been read: file, sha256, line, text."""
+    body = text.where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
     w = Window.partitionBy("file").orderBy("line")
     split = body.withColumn("cells", F.transform(F.split("text", ","), lambda c: F.trim(c)))
     heads = split.withColumn("r", F.row_number().over(w)).where("r = 1").select("file", F.transform("cells", lambda c: F.lower(c)).alias("head"), F.col("line").alias("head_line"))
     known = heads.select("file", "head_line", *[F.array_max(F.array(*[F.array_position("head", a) for a in names])).cast("int").alias(f"at_{k}") for k, names in ALIASES.items()])
     missing = [r.file for r in known.where(" or ".join(f"at_{k} = 0" for k in REQUIRED)).select("file").collect()]
     if missing or heads.isEmpty():
-        raise DataFormatError(f"no usable header in {missing or path}")
+        raise DataFormatError(f"no usable header in {missing or 'any file'}")
     cell = lambda k: F.when(F.col(f"at_{k}") > 0, F.try_element_at("cells", F.col(f"at_{k}")))
     rows = split.join(F.broadcast(known) if len(heads.take(10_001)) <= 10_000 else known, "file").where("line > head_line")
-    width = F.greatest(*[F.col(f"at_{k}") for k in REQUIRED])
-    typed = rows.select("file", "sha256", "line", "text", (F.size("cells") >= width).alias("wide"), instant(cell("epoch_utc")).alias("epoch_utc"), cell("packet_id").try_cast("int").alias("packet_id"), cell("lat").try_cast("double").alias("lat"), cell("lon").try_cast("double").alias("lon"), *[optional_number(cell(k)).alias(k) for k in ("alt_gps_m", "pressure_pa", "temperature_k")])
+    width = F.greatest(*[F.col(f"at_{k}") for k in ALIASES])
+    optional = ("alt_gps_m", "pressure_pa", "temperature_k")
+    junk = F.concat_ws(", ", *[F.when(is_junk(cell(k)), F.lit(k)) for k in optional])
+    typed = rows.select("file", "sha256", "line", "text", (F.size("cells") >= width).alias("wide"), instant(cell("epoch_utc")).alias("epoch_utc"), cell("packet_id").try_cast("int").alias("packet_id"), cell("lat").try_cast("double").alias("lat"), cell("lon").try_cast("double").alias("lon"), *[optional_number(cell(k)).alias(k) for k in optional], junk.alias("junk"))
     reason = (
         F.when(~F.col("wide"), "too few columns")
         .when(F.col("epoch_utc").isNull(), "epoch_utc is no instant")
         .when(F.col("packet_id").isNull(), "packet_id is no whole number")
         .when(~F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), "lat out of range")
         .when(~F.coalesce(F.col("lon").between(-180, 180), F.lit(False)), "lon out of range")
+        .when(F.col("junk") != "", F.concat("junk", F.lit(" is no number")))
         .when(F.col("pressure_pa") <= 0, "pressure_pa must be positive")
     )
     judged = typed.withColumn("reason", reason)
     first = F.row_number().over(Window.partitionBy("file", "packet_id").orderBy("line"))
     valid = judged.where("reason is null").withColumn("n", first)
-    kept = valid.where("n = 1").drop("n", "wide", "reason", "text")
+    kept = valid.where("n = 1").drop("n", "wide", "reason", "junk")
+    empty = heads.select("file").join(kept.select("file").distinct(), "file", "left_anti").take(1)
+    if empty:
+        raise DataFormatError(f"no usable sample in {empty[0].file}")
     derived = atmos.pressure_altitude(F.col("pressure_pa"))
     flags = set_flag(F.lit(0), INVERTED, F.col("epoch_utc") < F.lag("epoch_utc").over(w))
     flags = set_flag(set_flag(flags, DROPOUT, F.col("alt_gps_m").isNull()), FROM_PRESSURE, F.col("alt_gps_m").isNull() & derived.isNotNull())
-    samples = kept.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived))
-    rejects = judged.where("reason is not null").select("file", "line", "reason", "text").unionByName(valid.where("n > 1").select("file", "line", F.lit("duplicate packet_id").alias("reason"), "text"))
+    samples = kept.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived)).drop("text")
+    # a pressure outside the model is reported, its sample stays without an altitude
+    outside = kept.where(F.col("alt_gps_m").isNull() & F.col("pressure_pa").isNotNull() & derived.isNull()).select("file", "line", F.lit("pressure_pa is outside the model").alias("reason"), "text")
+    rejects = judged.where("reason is not null").select("file", "line", "reason", "text").unionByName(valid.where("n > 1").select("file", "line", F.lit("duplicate packet_id").alias("reason"), "text")).unionByName(outside)
     return samples, rejects
 
 
+def in_order(samples: DataFrame) -> DataFrame:
+    """Samples with `place`, from 1, by time and then packet_id in each file; the flags
+    were set in order of arrival."""
+    return samples.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("epoch_utc", "packet_id")))
+
+
+def anomaly_summary(samples: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Per file: kept, inverted, dropouts, derived altitudes, duplicates and other rejects."""
+    duplicate = F.col("reason") == "duplicate packet_id"
+    told = rejects.groupBy("file").agg(F.count_if(duplicate).alias("duplicates"), F.count_if(~duplicate).alias("rejected"))
+    out = anomalies(samples, ["file"]).join(told, "file", "left")
+    return out.na.fill(0, ["duplicates", "rejected"])
+
+
 def read_sounding(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Wyoming-style sounding text: levels (file, station, line, pressure_pa,
     height_gpm, temperature_k, wind_u_ms, wind_v_ms) and rejects.
@@ -96,7 +141,12 @@ def read_sounding(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     fields in range; repeated heights keep the first.  A file with fewer than two
     levels raises.
     """
-    body = lines(spark, path).where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
+    return parse_sounding(lines(spark, path))
+
+
+def parse_sounding(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`read_sounding` of lines that have been read: file, line, text."""
+    body = text.where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
     station = body.where(F.lower("text").contains("station identifier")).groupBy("file").agg(F.min_by(F.trim(F.substring_index("text", ":", -1)), "line").alias("station"))
     cells = F.split(F.trim("text"), "\\s+")
     data = body.withColumn("cells", cells).where(F.try_element_at("cells", F.lit(1)).try_cast("double").isNotNull())
@@ -126,3 +176,30 @@ def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one per file."""
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+#: Fields that a balloon's configuration must have, of text and of numbers.
+BALLOON_TEXT = ("name", "gas")
+BALLOON_NUMBERS = ("payload_mass_kg", "envelope_mass_kg", "launch_diameter_m", "burst_diameter_m", "free_lift_kg", "ascent_cd", "chute_area_m2", "chute_cd")
+#: Settings of a simulation and what they are where the document does not name them.
+SIM_DEFAULTS = {"step_s": 0.25, "integrator": "RK4", "t_end_s": 21_600.0, "state_sample_stride": 10}
+
+
+def parse_balloons(documents: DataFrame, text: str = "text") -> DataFrame:
+    """`documents` with the fields of a balloon's JSON and `error`: null, or what is
+    wrong with the first bad field, by name.  Numbers must be JSON numbers."""
+    raw = lambda f: F.get_json_object(text, f"$.{f}")
+    quoted = lambda f: F.col(text).rlike(f'"{f}"\\s*:\\s*"')
+    error = F.when(F.get_json_object(text, "$").isNull(), "not valid JSON")
+    for f in BALLOON_TEXT:
+        error = error.when(F.coalesce(F.trim(raw(f)), F.lit("")) == "", f"{f} is required")
+    for f in BALLOON_NUMBERS:
+        error = error.when(raw(f).isNull(), f"{f} is required").when(quoted(f) | raw(f).try_cast("double").isNull(), f"{f} must be a number")
+    error = error.when(~F.upper(F.trim(raw("gas"))).isin("HELIUM", "HYDROGEN"), "gas must be one of HELIUM, HYDROGEN")
+    return documents.select("*", raw("name").alias("name"), F.upper(F.trim(raw("gas"))).alias("gas"), *[raw(f).try_cast("double").alias(f) for f in BALLOON_NUMBERS], error.alias("error"))
+
+
+def parse_settings(documents: DataFrame, text: str = "text") -> DataFrame:
+    """`documents` with the settings under `sim`, defaults for those it does not name."""
+    kind = {str: "string", float: "double", int: "int"}
+    return documents.select("*", *[F.coalesce(F.get_json_object(text, f"$.sim.{k}").try_cast(kind[type(v)]), F.lit(v)).alias(k) for k, v in SIM_DEFAULTS.items()])
