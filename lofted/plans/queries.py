@@ -96,14 +96,15 @@ def tolerant_parse(spark, sf):
     return e.select("event_id", F.col("raw").try_cast("double").alias("parsed"), F.when(F.col("raw").isNull(), "missing").when(F.col("raw").try_cast("double").isNull(), "not a number").alias("reject_reason"))
 
 
-@query("""with n as (select cast(p_size as double) x, avg(p_retailprice) y from part where p_size % 7 = 0 group by 1),
+@query("""with n as (select cast(p_size as double) x, avg(p_retailprice) y from part group by 1),
+l as (select l_orderkey, l_linenumber, l_quantity + l_discount as place from lineitem),
 i as (select x lo, lead(x) over (order by x) hi, y y0, lead(y) over (order by x) y1 from n)
-select l_orderkey, l_linenumber, round(coalesce(y0 + (l_quantity - lo) / (hi - lo) * (y1 - y0), y0, (select y from n order by x limit 1)), 6) as y,
-  l_quantity < (select min(x) from n) or l_quantity > (select max(x) from n) as extrapolated
-from lineitem left join i on l_quantity >= lo and (l_quantity < hi or hi is null)""")
+select l_orderkey, l_linenumber, round(coalesce(y0 + (place - lo) / (hi - lo) * (y1 - y0), y0, (select y from n order by x limit 1)), 6) as y,
+  place < (select min(x) from n) or place > (select max(x) from n) as extrapolated
+from l left join i on place >= lo and (place < hi or hi is null)""")
 def interp_lookup(spark, sf):
-    nodes = read(spark, sf, "part").where("p_size % 7 = 0").groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
-    out = interp.lookup(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), F.col("l_quantity"), nodes, "x", ["y"])
+    nodes = read(spark, sf, "part").groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
+    out = interp.lookup(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_discount")).alias("place")), F.col("place"), nodes, "x", ["y"])
     return out.select("l_orderkey", "l_linenumber", F.round("y", 6).alias("y"), "extrapolated")
 
 
