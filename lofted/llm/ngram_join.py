@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import gc
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNTER_BITS = (16, 24)
 #: Groups in a posting above which its shingle is dealt to several.
 POSTING = 1024
+#: Pairs that one copy of a text is verified against, on average.
+HUB_PAIRS = 256
 #: Bits of a prefix's sketch, in words of 64.
 SKETCH = 512
 _BLOCKS = 64
@@ -517,11 +518,17 @@ class _Join:
             rest = self.scratch.save(rest.join(batch, ["a", "b"], "left_anti"), f"open{self.turn}")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b signatures) whose whole texts link."""
+        """The pairs (a, b signatures) whose whole texts link.
+
+        A pair's hub is its side with more pairs.  The hub's text is sent once for
+        every HUB_PAIRS of its pairs or so, that of the other side with each pair, so
+        the text of a cluster's centre is not copied for each of its members.
+        """
         self.turn += 1
         pairs = self.scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"try{self.turn}")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.sets.select("sig", "k"), "sig")
-        nodes = self.scratch.save(nodes.withColumn("h", F.xxhash64("k")), f"nodes{self.turn}")
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("degree"))
+        nodes = degree.join(self.sets.select("sig", "k"), "sig").withColumn("h", F.xxhash64("k"))
+        nodes = self.scratch.save(nodes, f"nodes{self.turn}")
         n = nodes.count()
         if not n:
             return pairs
@@ -534,40 +541,38 @@ class _Join:
                 yield b.select(["k", "text"]).filter(pa.array(bloom.might_have(words, b.column("h").to_numpy(zero_copy_only=False), log2)))
 
         some = self.docs.select("k", "text", F.xxhash64("k").alias("h")).mapInArrow(wanted, "k long, text string")
-        texts = self.scratch.save(some.join(nodes.select("k", "sig"), "k").select("sig", "text"), f"texts{self.turn}")
-        one, two = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
+        once = some.withColumn("same", F.xxhash64("text")).dropDuplicates(["k", "same"])  # of repeated rows one
+        texts = self.scratch.save(once.join(nodes.select("k", "sig"), "k").select("sig", "text"), f"texts{self.turn}")
+        for s in "ab":
+            pairs = pairs.join(nodes.select(F.col("sig").alias(s), F.col("degree").alias("d" + s)), s)
+        first = F.col("da") >= F.col("db")
+        sides = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.greatest("da", "db").alias("d"))
+        sides = sides.select("hub", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("d") / HUB_PAIRS)).alias("salt"), "leaf")
+        hubs = sides.select("hub", "salt").distinct().join(texts.withColumnRenamed("sig", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("leaf"), "text")
+        leaves = sides.join(texts.withColumnRenamed("sig", "leaf"), "leaf").select("hub", "salt", "leaf", "text")
+        met = hubs.unionAll(leaves).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("leaf"))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: OrderedDict[int, np.ndarray | None] = OrderedDict()
-
-            def own(sig: int, text: pa.Scalar) -> np.ndarray | None:
-                if sig not in known:
-                    ((_, words, _, _, _),) = rows_of_words(pa.array([text.as_py()], pa.string()))
-                    made = shingle_set(words, WORDS)
-                    # k can stand for several texts; only that of the signature counts
-                    if np.uint64(xxhash.xxh3_64_intdigest(made)).astype(np.int64) != sig:
-                        return None
-                    known[sig] = made
-                    if len(known) > 32:
-                        known.popitem(last=False)
-                else:
-                    known.move_to_end(sig)
-                return known[sig]
-
+            last, x = None, np.zeros(0, np.uint64)
             for b in batches:
                 yes = np.zeros(b.num_rows, bool)
-                a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-                for r in range(b.num_rows):
-                    x, y = own(a[r], b.column("ta")[r]), own(c[r], b.column("tb")[r])
-                    if x is not None and y is not None:
+                hub, leaf = b.column("hub").to_pylist(), b.column("leaf").to_pylist()
+                for r, words, _, _, _ in rows_of_words(b.column("text")):
+                    y = shingle_set(words, WORDS)
+                    # k can stand for several texts; only that of the signature counts
+                    sig = int(np.uint64(xxhash.xxh3_64_intdigest(y)).astype(np.int64))
+                    if leaf[r] is None and sig == hub[r]:
+                        last, x = sig, y
+                    elif leaf[r] == sig and last == hub[r]:
                         short, long = (x, y) if len(x) <= len(y) else (y, x)
                         at = np.searchsorted(long, short)
                         at[at == len(long)] = 0
                         both = int((long[at] == short).sum())
                         yes[r] = DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
-                yield b.select(["a", "b"]).filter(pa.array(yes))
+                linked = b.filter(pa.array(yes))
+                yield pa.RecordBatch.from_arrays([linked.column("hub"), linked.column("leaf")], ["a", "b"])
 
-        edges = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+        edges = met.select("hub", "leaf", "text").mapInArrow(check, "a long, b long")
         made = self.scratch.save(edges.distinct(), f"links{self.turn}")
         self.scratch.drop(f"texts{self.turn}")
         return made
