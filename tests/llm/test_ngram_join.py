@@ -96,3 +96,10 @@ def test_overlap_bounds():
         for b in range(1, 60):
             need = int(ngram_join.pair_overlap(a, b))
             assert 100 * need >= 80 * (a + b - need) and not 100 * (need - 1) >= 80 * (a + b - need + 1)
+
+
+def test_a_centre_dealt_to_several_tasks_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
+    rows = corpus(5, 120)
+    rows += [rows[0]] * 6 + [rows[7]] * 3 + [(None, rows[1][1], "x"), (500, "", "x")]
+    assert got(ngram_join.link(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
