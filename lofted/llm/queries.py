@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, license_scan, ngram_join, packing, secret_scan, token_io, url_filter, warc
+from . import ann, decontaminate, langid, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_io, url_filter, warc
 from .common import table
 
 
@@ -58,13 +58,17 @@ def op10_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_warc, op4_ngram_join, op5_ann, op6_packing, op7_license_scan, op8_decontaminate, op9_langid, op10_token_io, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_warc, op4_ngram_join, op5_ann, op6_packing, op7_license_scan, op8_decontaminate, op9_langid, op10_token_io, op11_suffix_dedup, pipeline)}
 
 
 def _op1_sql() -> str:
@@ -164,4 +168,18 @@ rep as (select n.doc_id, n.n, sets.id from n left join sets on md5(array_to_stri
 select doc_id, n as n_shingles, coalesce(m, doc_id) as component_id from rep left join comp on rep.id = comp.v"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op3_warc": _OP3_SQL, "op4_ngram_join": _op4_sql(), "op7_license_scan": _op7_sql()}
+_OP11_SQL = """
+with d as (select row_number() over (order by doc_id, file_row_number) as r, doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from (select *, row_number() over () as file_row_number from documents)),
+windows as (select r, i, substr(x, 2 * i + 1, 200) as s from (select r, x, unnest(range(n - 99)) as i from d where n >= 100)),
+later as (select r, i from windows qualify row_number() over (partition by s order by r, i) > 1),
+opened as (select r, i, case when i - lag(i) over (partition by r order by i) <= 100 then 0 else 1 end as new from later),
+numbered as (select r, i, sum(new) over (partition by r order by i) as k from opened),
+spans as (select r, k, min(i) as a, max(i) + 100 as b from numbered group by all),
+bounds as (select r, a, b from spans union all select r, n, n from d),
+pieces as (select r, a, coalesce(lag(b) over (partition by r order by a, b), 0) as c from bounds),
+kept as (select r, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' order by a, c) as x, sum(a - c) as n, count(*) - 1 as k from pieces join (select r, x from d) using (r) group by r)
+select doc_id, cast(d.n as bigint) as n_bytes, cast(d.n - kept.n as bigint) as n_removed, cast(k as bigint) as n_spans, sha256(unhex(kept.x)) as kept_sha256
+from d join kept using (r)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _OP11_SQL, "op1_url_filter": _op1_sql(), "op3_warc": _OP3_SQL, "op4_ngram_join": _op4_sql(), "op7_license_scan": _op7_sql()}
