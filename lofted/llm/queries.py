@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_io, url_filter, warc
+from . import ann, decontaminate, divergence, langid, license_scan, ngram_join, packing, prefix_trie, secret_scan, suffix_dedup, token_io, url_filter, warc
 from .common import table
 
 
@@ -62,13 +62,21 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.query(spark, sf_dir)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.query(spark, sf_dir)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_warc, op4_ngram_join, op5_ann, op6_packing, op7_license_scan, op8_decontaminate, op9_langid, op10_token_io, op11_suffix_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_warc, op4_ngram_join, op5_ann, op6_packing, op7_license_scan, op8_decontaminate, op9_langid, op10_token_io, op11_suffix_dedup, op12_prefix_trie, op13_divergence, pipeline)}
 
 
 def _op1_sql() -> str:
@@ -182,4 +190,44 @@ select doc_id, cast(d.n as bigint) as n_bytes, cast(d.n - kept.n as bigint) as n
 from d join kept using (r)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _OP11_SQL, "op1_url_filter": _op1_sql(), "op3_warc": _OP3_SQL, "op4_ngram_join": _op4_sql(), "op7_license_scan": _op7_sql()}
+#: CRC-32 of a decimal number, byte by byte and bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({x}::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"
+
+_OP12_SQL = f"""
+with own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from conversations where conv_id is not null),
+convs as (select conv_id, conv_id - conv_id % 5 as base, {_CRC32.format(x="conv_id")} % 9 as h from (select distinct conv_id from own)),
+parts as (
+  select c.conv_id, 0 as part, o.pos, o.role, o.text from convs c join own o on o.conv_id = c.base and o.pos <= c.h
+  union all select c.conv_id, 1, o.pos, o.role, o.text from convs c join own o using (conv_id) where o.pos > c.h),
+turns as (select conv_id, row_number() over (partition by conv_id order by part, pos) as depth, sha256(octet_length(encode(role)) || ':' || role || text) as turn, octet_length(encode(text)) as bytes from parts),
+prefixes as (
+  select conv_id, depth, sha256(string_agg(turn, '') over (partition by conv_id order by depth)) as key, bytes from turns
+  union all select conv_id, 0, '', 0 from convs),
+lens as (select conv_id, max(depth) as len from prefixes group by conv_id),
+nodes as (select depth, key, min(conv_id) as owner, count(*) as n_convs, max(bytes) as bytes from prefixes group by all),
+links as (select distinct p.depth, p.key, up.key as parent_key from prefixes p join prefixes up on up.conv_id = p.conv_id and up.depth = p.depth - 1),
+kids as (select depth - 1 as depth, parent_key as key, count(*) as n from links group by all),
+weighed as (select n.*, (n.n_convs - 1) * n.bytes as saved, case when kids.n is null then 1 else 0 end as leaf from nodes n left join kids using (depth, key)),
+totals as (
+  select p.depth, p.key, sum(w.saved) as saved, sum(w.leaf) as leaves
+  from prefixes p join prefixes low on low.conv_id = p.conv_id and low.depth >= p.depth join weighed w on w.depth = low.depth and w.key = low.key and w.owner = p.conv_id group by all),
+ended as (select depth, key, string_agg(p.conv_id::varchar, ',' order by p.conv_id) as ids from prefixes p join lens l on l.conv_id = p.conv_id and l.len = p.depth group by all)
+select n.owner as conv_id, n.depth, up.owner as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, cast(t.leaves as bigint) as n_leaves, cast(t.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join totals t using (depth, key) left join kids using (depth, key) left join links l using (depth, key) left join nodes up on up.depth = n.depth - 1 and up.key = l.parent_key left join ended e on e.depth = n.depth and e.key = n.key"""
+
+_OP13_SQL = r"""
+with docs as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (select i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as n from words group by all having count(distinct i) >= 3),
+groups as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as n from words group by all),
+dense as (select lang, source, term, coalesce(c.n, 0)::hugeint as n from groups join kept using (lang) left join counts c using (lang, source, term)),
+p as (select lang, source, term, n, (1 + 1000000000 * (n + 1) // (sum(n) over (partition by lang, source) + count(*) over (partition by lang, source)))::hugeint as p from dense),
+ql as (select lang, term, (1 + 1000000000 * (n::hugeint + 1) // (sum(n) over (partition by lang) + count(*) over (partition by lang)))::hugeint as q from kept),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p join ql using (lang, term) where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200"""
+
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_divergence": _OP13_SQL, "op1_url_filter": _op1_sql(), "op3_warc": _OP3_SQL, "op4_ngram_join": _op4_sql(), "op7_license_scan": _op7_sql()}
