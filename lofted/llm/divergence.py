@@ -48,9 +48,14 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _run(db: duckdb.DuckDBPyConnection, sql: str) -> list[tuple]:
+    """Runs statements to their end."""
+    return db.execute(sql).fetchall()
+
+
 def _database() -> duckdb.DuckDBPyConnection:
     made = duckdb.connect()
-    made.execute("set threads = 1; set memory_limit = '600MB'; set preserve_insertion_order = false; set temp_directory = ''")
+    _run(made, "set threads = 1; set memory_limit = '600MB'; set preserve_insertion_order = false; set temp_directory = ''")
     return made
 
 
@@ -60,12 +65,12 @@ _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term); an empty term marks each (lang, source)."""
     db = _database()
-    db.execute("create table held (lang varchar, source varchar, term varchar, n bigint, docs bigint)")
+    _run(db, "create table held (lang varchar, source varchar, term varchar, n bigint, docs bigint)")
     summed = "select lang, source, term, sum(n)::bigint as n, sum(docs)::bigint as docs from held group by all"
 
     def passed() -> list[pa.RecordBatch]:
         out = db.sql(summed).to_arrow_table().cast(_COUNTS).to_batches()
-        db.execute("truncate held")
+        _run(db, "truncate held")
         return out
 
     for batch in batches:
@@ -75,17 +80,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(text[k].as_buffer() or b"")
             if size < SLICE_BYTES and k + 1 < batch.num_rows:
                 continue
-            docs = pa.table({"i": pa.array(range(low, k + 1)), "lang": lang.slice(low, k + 1 - low), "source": source.slice(low, k + 1 - low), "text": text.slice(low, k + 1 - low)})  # noqa: F841  read by the SQL
-            db.execute(f"""
+            db.register("docs", pa.table({"i": pa.array(range(low, k + 1)), "lang": lang.slice(low, k + 1 - low), "source": source.slice(low, k + 1 - low), "text": text.slice(low, k + 1 - low)}))
+            _run(db, f"""
                 insert into held
                 with words as (select i, lang, source, unnest(string_split(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '{BETWEEN}', ' ', 'g'), ' ')) as term from docs),
                 each_doc as (select i, lang, source, term, count(*) as n from words where term <> '' group by all)
                 select lang, source, term, sum(n), count(*) from each_doc group by all
                 union all select distinct lang, source, '', 0, 0 from docs""")
             low, size = k + 1, 0
-            if db.sql("select count(*) from held").fetchone()[0] > HELD_ROWS:
-                db.execute(f"create or replace temp table less as {summed}; truncate held; insert into held from less; drop table less")
-                if db.sql("select count(*) from held").fetchone()[0] > HELD_ROWS // 2:
+            if _run(db, "select count(*) from held")[0][0] > HELD_ROWS:
+                _run(db, f"create or replace temp table less as {summed}; truncate held; insert into held from less; drop table less")
+                if _run(db, "select count(*) from held")[0][0] > HELD_ROWS // 2:
                     yield from passed()
     yield from passed()
 
@@ -97,8 +102,8 @@ def _loaded(batches: Iterator[pa.RecordBatch], db: duckdb.DuckDBPyConnection) ->
     """Puts a shard's rows into the table `rows`; whether there are any."""
     made = False
     for batch in batches:
-        part = pa.Table.from_batches([batch])  # noqa: F841  read by the SQL
-        db.execute("insert into rows from part" if made else "create table rows as from part")
+        db.register("part", pa.Table.from_batches([batch]))
+        _run(db, "insert into rows from part" if made else "create table rows as from part")
         made = True
     return made
 
@@ -123,9 +128,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _loaded(batches, db):
         return
     p, f = "(1 + {s}::hugeint * (({n}) + 1) // ({d}))::bigint", "(({p}) - ({q})) * (({p}) - ({q})) // ({q})"
-    db.execute(f"create macro f(p, q) as {f.format(p='p', q='q')}")
+    _run(db, f"create macro f(p, q) as {f.format(p='p', q='q')}")
     one = {"n": "n", "d": "total + terms", "s": SCALE}
-    db.execute(f"""
+    _run(db, f"""
         create table c as select lang, source, term, n, {p.format(**one)} as p, {p.format(**one | {'n': '0'})} as p0,
             {p.format(n='in_lang', d='lang_total + terms', s=SCALE)} as ql from rows""")
     yield from db.sql(f"""
