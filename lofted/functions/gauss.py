@@ -60,15 +60,45 @@ def upper_tail(x: Column) -> Column:
     return erfc(x / math.sqrt(2)) / 2
 
 
-def inverse_cdf(u: Column) -> Column:
-    """Quantile of the unit normal, held at plus and minus LIMIT; null outside [0, 1]."""
+def inverse_cdf(u: Column, limit: float = LIMIT) -> Column:
+    """Quantile of the unit normal, held at plus and minus `limit`; null outside [0, 1]."""
     q = u - 0.5
     ratio = lambda parts, r: _power_series([F.lit(parts[0][0]), *parts[0][1:]], r) / _power_series([F.lit(parts[1][0]), *parts[1][1:]], r)
     r = F.sqrt(-F.log(F.least(u, 1 - u)))
     outer = F.when(r <= 5, ratio(_MIDDLE, r - 1.6)).otherwise(ratio(_TAIL, r - 5))
     x = F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q)).when(q < 0, -outer).otherwise(outer)
-    held = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), x))
-    return F.when((u > 0) & (u < 1), held).when(u == 0, -LIMIT).when(u == 1, LIMIT)
+    held = F.greatest(F.lit(-limit), F.least(F.lit(limit), x))
+    return F.when((u > 0) & (u < 1), held).when(u == 0, -limit).when(u == 1, limit)
+
+
+def _named(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+#: From here on a tail's probability is too small for the quantile's approximation.
+_FAR_TAIL = 30.0
+
+
+def truncated(u: Column, mean: float, sd: float, low: float, high: float, above: Column | None = None) -> Column:
+    """Quantile at u, in (0, 1), of a normal cut to [low, high] and, where `above` is not
+    null, to what lies beyond it; `above` itself where nothing does.
+
+    It is sought by the probability of the upper tail, which stays exact where the
+    cut is far out; beyond _FAR_TAIL deviations by the density's leading term there.
+    """
+    bound = F.lit(float(low)) if above is None else F.greatest(F.lit(float(low)), above)
+    to = (high - mean) / sd
+    last = math.erfc(to / math.sqrt(2)) / 2
+
+    def drawn(at: Column) -> Column:
+        from_, v = at["z"], at["u"]
+        near = _named(last + (1 - v) * (upper_tail(from_) - last), lambda t: -inverse_cdf(t, 38.0))
+        cut = -F.expm1((from_ * from_ - to * to) / 2) if math.isfinite(to) else F.lit(1.0)
+        return F.when(from_ < _FAR_TAIL, near).otherwise(F.sqrt(from_ * from_ - 2 * F.log1p(-v * cut)))
+
+    z = _named(F.struct(((bound - mean) / sd).alias("z"), u.alias("u")), drawn)
+    return F.greatest(bound, F.least(F.lit(float(high)), mean + sd * z))
 
 
 def inverse_np(u: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gauss import ellipse_scale
 from ..functions.geo import METRES_PER_DEGREE, metres_per_degree_lon, wrap180
+from .ranges import matched
 
 
 def axes(see: Column, snn: Column, sen: Column, confidence: float) -> list[Column]:
@@ -25,7 +26,7 @@ def axes(see: Column, snn: Column, sen: Column, confidence: float) -> list[Colum
 def centroid(points: DataFrame, by: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Mean latitude, and mean longitude about one of the group's own, so that the antimeridian does not split it."""
     some = points.groupBy(*by).agg(F.min(lon).alias("__ref"))
-    return points.join(some, by).groupBy(*by).agg(F.avg(lat).alias("centre_lat"), wrap180(F.first("__ref") + F.avg(wrap180(F.col(lon) - F.col("__ref")))).alias("centre_lon"), F.count("*").alias("n"))
+    return matched(points, some, by).groupBy(*by).agg(F.avg(lat).alias("centre_lat"), wrap180(F.first("__ref") + F.avg(wrap180(F.col(lon) - F.col("__ref")))).alias("centre_lon"), F.count("*").alias("n"))
 
 
 def fit(points: DataFrame, by: list[str], confidence: float = 0.95, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -35,7 +36,7 @@ def fit(points: DataFrame, by: list[str], confidence: float = 0.95, lat: str = "
     centres = centroid(whole, by, lat, lon).where("n >= 3")
     east = wrap180(F.col(lon) - F.col("centre_lon")) * metres_per_degree_lon(F.col("centre_lat"))
     north = (F.col(lat) - F.col("centre_lat")) * METRES_PER_DEGREE
-    flat = whole.join(centres, by).withColumn("__e", east).withColumn("__n", north)
+    flat = matched(whole, centres, by).withColumn("__e", east).withColumn("__n", north)
     cov = flat.groupBy(*by, "centre_lat", "centre_lon", "n").agg(F.var_samp("__e").alias("ee"), F.var_samp("__n").alias("nn"), F.covar_samp("__e", "__n").alias("en"))
     return cov.select(*by, "centre_lat", "centre_lon", "n", *axes(F.col("ee"), F.col("nn"), F.col("en"), confidence), F.lit(confidence).alias("confidence"))
 
@@ -51,7 +52,7 @@ def contains(lat: Column, lon: Column) -> Column:
 
 def containment(points: DataFrame, ellipses: DataFrame, by: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Share of each group's points in its ellipse."""
-    return points.join(ellipses, by).groupBy(*by, "confidence").agg(F.avg(contains(F.col(lat), F.col(lon)).cast("double")).alias("contained"))
+    return matched(points, ellipses, by).groupBy(*by, "confidence").agg(F.avg(contains(F.col(lat), F.col(lon)).cast("double")).alias("contained"))
 
 
 def area_m2() -> Column:

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 from .ranges import cut_points, range_of
 
+#: Nodes that are sent with the plan, as a tree of comparisons.
+SENT_NODES = 512
+
 
 def lookup(df: DataFrame, at: Column, nodes: DataFrame, x: str, ys: list[str], by: list[str] | None = None) -> DataFrame:
     """`df` with each y of sorted nodes interpolated at `at`, held outside them, and
     `extrapolated` for strictly outside.
 
-    Each distinct place meets the nodes next to it in one sorted range of places
+    Up to SENT_NODES nodes of one group are read and sent with the plan, so rows
+    stay where they are.  Else each distinct place meets the nodes next to it in one sorted range of places
     and nodes; a range without one takes that of the ranges before or after, so
     neither side is broadcast and no range holds all.  Null places give nulls;
     nodes without x are left out, and of equal x only one may stand in a group.
     """
     by = by or []
+    if not by:
+        few = nodes.select(F.col(x).cast("double").alias("x"), *[F.col(y).cast("double").alias(y) for y in ys]).where("x is not null").limit(SENT_NODES + 1).collect()
+        if len(few) <= SENT_NODES:
+            return _sent(df, at, sorted(few, key=lambda r: r.x), ys)
     keys = [f"__by{i}" for i in range(len(by))]
     named = [F.col(c).alias(k) for c, k in zip(by, keys)]
     own = nodes.select(*named, F.col(x).cast("double").alias("__x"), F.struct(F.col(x).cast("double").alias("x"), *ys).alias("__node")).where("__x is not null")
@@ -49,6 +57,22 @@ def lookup(df: DataFrame, at: Column, nodes: DataFrame, x: str, ys: list[str], b
     return left.join(made, on, "left").select(*df.columns, *[F.col(f"__y{i}").alias(y) for i, y in enumerate(ys)], F.col("__out").alias("extrapolated"))
 
 
+def _sent(df: DataFrame, at: Column, nodes: list, ys: list[str]) -> DataFrame:
+    """`lookup` in nodes that the plan holds."""
+    place, xs = at.cast("double"), [r.x for r in nodes]
+    count = range_of(place, xs)  # nodes at the place or under it
+    pick = lambda values, k: F.get(F.array(*[F.lit(v).cast("double") for v in values]), k) if values else F.lit(None).cast("double")
+    low, high = pick(xs, count - 1), pick(xs, count)
+    share = (place - low) / (high - low)
+    out = []
+    for y in ys:
+        values = [r[y] for r in nodes]
+        y0, y1 = pick(values, count - 1), pick(values, count)
+        out.append(F.when(place.isNotNull(), F.coalesce(y0 + share * (y1 - y0), y0, y1)).alias(y))
+    outside = low.isNull() | (high.isNull() & (place != low))
+    return df.select("*", *out, (F.when(place.isNotNull(), outside) if xs else F.lit(None).cast("boolean")).alias("extrapolated"))
+
+
 def nearest(df: DataFrame, by: list[str], at: Column, target: Column, value: str) -> DataFrame:
     """`value` of the row nearest to a target, the first of equal ones."""
     return df.groupBy(*by).agg(F.min_by(value, F.struct(F.abs(at - target), at)).alias(value))

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 
 #: Ranges that a column is cut into.
 PARTS = 128
+#: Rows from which a table, or a series, is dealt to several tasks by ranges.
+LONG = 1_000_000
+
+
+def matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """`left` joined to `right` on `by`, null matching null; the columns of `by` are left's."""
+    names = {c: f"__of_{c}" for c in by}
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def cut_points(df: DataFrame, column: str, parts: int = PARTS) -> list:
@@ -53,3 +64,17 @@ def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, Co
         on = on & F.col(c).eqNullSafe(F.col(f"__by{i}"))
     out = [x for k in names for x in ((F.col(f"__base_{k}") + F.col(f"__own_{k}")).alias(k), (F.col(f"__base_{k}") + F.col(f"__ago_{k}")).alias(f"{k}_before"), F.col(f"{k}_total"))]
     return own.join(base, on).select(*df.columns, *out)
+
+
+def previous(df: DataFrame, by: list[str], number: str, value: str, size: int, out: str) -> DataFrame:
+    """`df` with the value of the row before, in order of the whole number `number`, which
+    tells a group's rows apart.
+
+    Blocks of `size` numbers look back for themselves; then only the first and last
+    rows of blocks meet, so a group of any length is many tasks."""
+    own = df.withColumn("__block", F.floor(F.col(number) / size))
+    w = Window.partitionBy(*by, "__block").orderBy(number)
+    inside = own.withColumns({out: F.lag(value).over(w), "__first": F.row_number().over(w) == 1, "__edge": F.lead(F.lit(1)).over(w).isNull() | (F.row_number().over(w) == 1)})
+    edges = Window.partitionBy(*by, F.when(F.col("__edge"), -1).otherwise(F.col("__block"))).orderBy(number)
+    met = inside.withColumn("__last", F.lag(value).over(edges))
+    return met.withColumn(out, F.when(F.col("__first"), F.col("__last")).otherwise(F.col(out))).drop("__block", "__first", "__edge", "__last")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import PARTS, running
+from .ranges import LONG, PARTS, matched, running
 
 
 def log_normalise(df: DataFrame, by: list[str], log_weight: str, out: str = "w") -> DataFrame:
@@ -55,19 +55,29 @@ def convergence(n: str, sd: str) -> Column:
     return F.regr_slope(F.log(F.col(sd)), F.log(F.col(n)))
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, levels: tuple[float, ...] = (0.05, 0.5, 0.95), parts: int = PARTS) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, levels: tuple[float, ...] = (0.05, 0.5, 0.95), parts: int | None = None) -> DataFrame:
     """Of each level the first value (in order) whose running share of the weight
-    reaches it, else the greatest.  Equal values are one step; where groups are
-    many and small, `parts` of 1 saves cutting them into ranges."""
+    reaches it, else the greatest.  Equal values are one step.
+
+    A group's steps are summed by one task, or, with `parts` over 1, by ranges of
+    values side by side.  If it is not given, a table of over LONG rows is cut."""
+    if parts is None:
+        parts = PARTS if df.count() > LONG else 1
     steps = df.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    run = running(steps, by, [value], {"__c": F.col("__w")}, parts).withColumn("__share", F.col("__c") / F.col("__c_total"))
+    if parts > 1:
+        run = running(steps, by, [value], {"__c": F.col("__w")}, parts).withColumn("__share", F.col("__c") / F.col("__c_total"))
+    else:
+        # both windows and the aggregate need the group's rows in one place, once
+        steps = steps.repartition(*[F.col(c) for c in by]) if by else steps
+        own = Window.partitionBy(*by)
+        run = steps.withColumn("__share", F.sum("__w").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__w").over(own))
     return run.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("__share") >= p, F.col(value))), F.max(value)).alias(f"q{round(p * 100):02d}") for p in levels])
 
 
 def moments(df: DataFrame, by: list[str], names: list[str], weight: str = "w", floor: float = 0.0) -> DataFrame:
     """Weighted means and covariances; variances not under `floor`."""
     means = df.groupBy(*by).agg(F.sum(weight).alias("__w"), *[(F.sum(F.col(n) * F.col(weight)) / F.sum(weight)).alias(f"mean_{n}") for n in names])
-    both = df.join(means, by)
+    both = matched(df, means, by)
     cov = lambda a, b: F.sum(F.col(weight) * (F.col(a) - F.col(f"mean_{a}")) * (F.col(b) - F.col(f"mean_{b}"))) / F.sum(weight)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     return both.groupBy(*by, *[f"mean_{n}" for n in names]).agg(*[(F.greatest(cov(a, b), F.lit(floor)) if a == b else cov(a, b)).alias(f"cov_{a}_{b}") for a, b in pairs])
@@ -89,4 +99,12 @@ def resample(df: DataFrame, by: list[str], order: list[str], weight: str = "w",
 def pool(df: DataFrame, by: list[str], part: str, weight: str = "w") -> DataFrame:
     """A mixture of equally likely parts: weights by the number of parts of the group."""
     parts = df.groupBy(*by).agg(F.count_distinct(part).alias("__k"))
-    return df.join(parts, by).withColumn(weight, F.col(weight) / F.col("__k")).drop("__k")
+    return matched(df, parts, by).withColumn(weight, F.col(weight) / F.col("__k")).drop("__k")
+
+
+def median_parameters(posterior: DataFrame, by: list[str], scaled: dict[str, tuple[str, float]], names: list[str], param: str = "param", median: str = "median") -> DataFrame:
+    """One row a group with the median of each parameter of `names`; one in `scaled` is
+    a scale: its median times the nominal value goes under the name given there.
+    A parameter that a group does not have is null."""
+    wide = posterior.groupBy(*by).pivot(param, names).agg(F.max(median))
+    return wide.select(*by, *[(F.col(n) * scaled[n][1]).alias(scaled[n][0]) if n in scaled else F.col(n) for n in names])

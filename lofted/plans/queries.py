@@ -318,33 +318,52 @@ def failed_checks(spark, sf):
     return read(spark, sf, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("failed"))
 
 
-@query("select d as dim, r as stratum, 1::bigint as n from range(5) a(d), range(200) b(r)")
+@query("select s_suppkey, d as dim, r as stratum, 1::bigint as n from supplier, range(5) a(d), range(20) b(r)")
 def lhs_strata(spark, sf):
-    u = sample.unit_design(spark, 200, 5, 11)
-    return u.select("dim", F.floor(F.col("u") * 200).alias("stratum")).groupBy("dim", "stratum").agg(F.count("*").alias("n"))
+    """A design of 20 members for each supplier: one in each stratum."""
+    u = sample.designs(read(spark, sf, "supplier"), ["s_suppkey"], 20, 5, F.col("s_suppkey"))
+    return u.select("s_suppkey", "dim", F.floor(F.col("u") * 20).alias("stratum")).groupBy("s_suppkey", "dim", "stratum").agg(F.count("*").alias("n"))
+
+
+def _drawn(spark, sf):
+    """A member for each supplier, its parameters drawn from the marginals before a flight."""
+    from . import sim
+
+    k = F.col("s_suppkey")
+    drawn = [d.quantile_column(sample.uniform(7, F.lit(name), k)).alias(name) for name, d in sim.Config().dispersion()]
+    return read(spark, sf, "supplier").select(k.cast("long").alias("member"), *drawn).repartition(spark.sparkContext.defaultParallelism)
 
 
 @query()
 def simulate_flight(spark, sf):
     from . import sim
 
-    return sim.ensemble(spark, 1000, 7, sim.Config(), sim.Settings())
+    return sim.simulate(_drawn(spark, sf), sim.Config(), sim.Settings())
 
 
 @query()
 def landing_footprint(spark, sf):
     from . import sim
 
-    e = sim.ensemble(spark, 100, 7, sim.Config(), sim.Settings(step_s=0.5)).where("status = 'OK'")
+    e = sim.simulate(_drawn(spark, sf), sim.Config(), sim.Settings(step_s=0.5)).where("status = 'OK'")
     return el.fit(e.select(F.lit(1).alias("run_id"), "lat", "lon"), ["run_id"])
 
 
+def _flight_log(spark, sf, config, settings, every: int):
+    """A flight's log whose altitudes stray as the values of events do."""
+    from . import sim
+
+    noise = read(spark, sf, "events").groupBy((F.col("event_id") % 1000).alias("n")).agg(((F.avg("value") - 50) / 10).alias("stray"))
+    log = sim.synthetic_log(spark, config, settings, seed=5, every=every).withColumn("n", (F.col("packet_id") % 1000).cast("long"))
+    return log.join(noise, "n", "left").withColumn("alt_m", F.col("alt_m") + F.coalesce("stray", F.lit(0.0))).drop("n", "stray")
+
+
 @query()
 def filter_bank(spark, sf):
     from . import bank, sim
 
-    log = sim.synthetic_log(spark, sim.Config(), sim.Settings(step_s=0.5), seed=5, every=120)
+    log = _flight_log(spark, sf, sim.Config(), sim.Settings(step_s=0.5), 120)
     return bank.run(log, sim.Config(), sim.Settings(step_s=0.5), filters=4, particles=25)
 
 
-from . import queries_domain  # noqa: E402,F401  registers its queries
+from . import queries_domain, queries_series  # noqa: E402,F401  they register their queries

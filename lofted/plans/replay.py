@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import atmos, geo
 from ..functions.gauss import inverse_cdf
 from ..operators import ellipse, quality, sample, series
+from ..operators.ranges import matched
 from . import bank
 from .sim import PARAMETERS, Config, Settings, simulate
 
@@ -32,8 +33,8 @@ def due_updates(updates: DataFrame, by: list[str], gap_s: float, ground_m: float
     before) at which the landing is predicted anew: `gap_s` after the last one, at the
     burst, and at the last update; never at ground level.  A due update without an
     altitude waits for the next that has one, as there is nothing to begin from."""
-    last = F.max("s").over(series.window(by)) == F.col("s")
-    marked = updates.withColumn("__force", F.coalesce(F.col("burst"), F.lit(False)) | last)
+    ends = updates.groupBy(*by).agg(F.max("s").alias("__end"))
+    marked = matched(updates, ends, by).withColumn("__force", F.coalesce(F.col("burst"), F.lit(False)) | (F.col("s") == F.col("__end")))
     airborne = marked.where(F.col("alt_m") > ground_m + LANDED_M)
     return series.throttle(airborne, by, "s", gap_s, F.col("__force"))
 
@@ -106,7 +107,7 @@ def score(updates: DataFrame, frozen: DataFrame, actual: DataFrame, by: list[str
     has no rows.
     """
     first = frozen.where(F.col("confidence") == SCORED).select(*by, F.col("centre_lat").alias("__lat"), F.col("centre_lon").alias("__lon"))
-    joined = updates.where(F.col("confidence") == SCORED).join(first, by).join(actual.select(*by, "lat", "lon"), by)
+    joined = matched(matched(updates.where(F.col("confidence") == SCORED), first, by), actual.select(*by, "lat", "lon"), by)
     joined = joined.withColumn("frozen_error_m", geo.haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))).withColumn("error_m", geo.haversine(F.col("centre_lat"), F.col("centre_lon"), F.col("lat"), F.col("lon")))
     return joined.select(*by, "s", "frozen_error_m", "error_m", "semi_major_m", F.coalesce(F.col("s") >= F.col("burst_s"), F.lit(False)).alias("after_burst"), (F.col("error_m") <= F.col("semi_major_m")).alias("inside"), quality.error_reduction(F.col("frozen_error_m"), F.col("error_m")).alias("reduction"))
 
@@ -115,7 +116,7 @@ def moments(scored: DataFrame, by: list[str], fraction: float = 0.5) -> DataFram
     """Per group the error at the first update after the burst, at the one nearest
     to a fraction of the last one's time (the earlier of equal ones), and at the last."""
     ends = scored.groupBy(*by).agg(F.max("s").alias("__end"))
-    joined = scored.join(ends, by)
+    joined = matched(scored, ends, by)
     return joined.groupBy(*by).agg(
         F.min_by(F.when(F.col("after_burst"), F.col("error_m")), F.when(F.col("after_burst"), F.col("s"))).alias("at_burst_m"),
         F.min_by("error_m", F.struct(F.abs(F.col("s") - F.col("__end") * fraction), F.col("s"))).alias("at_fraction_m"),

@@ -24,7 +24,7 @@ PARAMETERS = ("free_lift_kg", "ascent_cd", "burst_diameter_m", "chute_cd", "wind
 
 
 class ConvergenceError(RuntimeError):
-    exit_code = 4
+    exit_code = 5
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from ..operators.ranges import running
 
 
 class StoreError(RuntimeError):
-    exit_code = 5
+    exit_code = 6
 
 
 @dataclass(frozen=True)

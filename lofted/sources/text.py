@@ -9,6 +9,7 @@ from ..functions import atmos
 from ..functions.constants import CELSIUS_ZERO_K
 from ..functions.geo import knots, wind_components
 from ..operators.quality import DROPOUT, FROM_PRESSURE, INVERTED, set_flag
+from ..operators.ranges import previous, running
 from ..operators.series import anomalies
 
 
@@ -38,6 +39,25 @@ def lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
     return files.select(F.col("path").alias("file"), digest(F.col("content")).alias("sha256"), F.posexplode(F.split(text, "\\R")).alias("i", "text")).select("file", "sha256", (F.col("i") + 1).alias("line"), "text")
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and text of each line of the UTF-8 files at `path`; a file is
+    read by as many tasks as it has splits.
+
+    Each split numbers its lines for itself; the counts of the splits before it, one
+    row a split, give the number it begins with.  Lines end in \\n, \\r or \\r\\n.
+    """
+    return number_lines(spark.read.text(path))
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """`split_lines` of a text source's rows, of a batch or of one batch of a stream."""
+    own = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    counts = own.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    begins = counts.select("file", "split", (before - F.col("first") + 1).alias("begin"))
+    return own.join(begins, ["file", "split"]).select("file", (F.col("at") + F.col("begin")).alias("line"), "text")
+
+
 def digest(content: Column) -> Column:
     """SHA-256 of a file's bytes."""
     return F.sha2(content, 256)
@@ -64,37 +84,57 @@ def instant(c: Column) -> Column:
     return F.when(own.rlike(r"^\d{4}-\d\d-\d\dT"), F.coalesce(F.try_to_timestamp(F.concat(own, F.lit("Z"))), F.try_to_timestamp(own)))
 
 
+#: Lines of a file that one task compares with the lines before them.
+BLOCK_LINES = 200_000
+
+
 def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Telemetry CSV files: samples (per file in time order by epoch_utc, packet_id)
-    with flags, and rejects (file, line, reason, text).
+    """Telemetry CSV files: samples with flags and `line`, and rejects (file, line, reason, text).
 
     Comments and blanks are skipped, columns go by alias, others are ignored.  A
     bad row is rejected and does not claim its packet id; of equal ids the first
     kept one stays (the others are rejects, "duplicate").  A packet earlier than
     the one kept before it is flagged; a missing altitude is flagged and, where
-    there is a pressure, derived from it.
+    there is a pressure, derived from it.  A file without a usable header or a
+    usable sample raises; `parse_telemetry` alone runs no job.
     """
-    return parse_telemetry(lines(spark, path))
+    text = split_lines(spark, path)
+    samples, rejects = parse_telemetry(text)
+    check_telemetry(text, samples, rejects)
+    return samples, rejects
 
 
-def parse_telemetry(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`read_telemetry` of lines that have been read: file, sha256, line, text."""
-    body = text.where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
-    w = Window.partitionBy("file").orderBy("line")
+NO_HEADER = "the file has no usable header"
+
+
+def check_telemetry(text: DataFrame, samples: DataFrame, rejects: DataFrame) -> None:
+    """Raises for files that cannot be used at all."""
+    files = text.select("file").distinct().join(samples.select("file").distinct(), "file", "left_anti")
+    told = files.join(rejects.groupBy("file").agg(F.bool_or(F.col("reason") == NO_HEADER).alias("headless")), "file", "left")
+    worst = told.agg(F.min_by("file", F.struct(~F.coalesce("headless", F.lit(True)), "file")).alias("file"), F.min_by(F.coalesce("headless", F.lit(True)), F.struct(~F.coalesce("headless", F.lit(True)), "file")).alias("headless")).first()
+    if worst.file is not None:
+        raise DataFormatError(f"no usable header in {worst.file}" if worst.headless else f"no usable sample in {worst.file}")
+
+
+def parse_telemetry(text: DataFrame, block: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
+    """`read_telemetry` of lines that have been read (file, line, text), without a job
+    and without holding a file in one task: headers are a minimum by line, packets
+    are compared by id, arrival in blocks of `block` lines.  All lines of a file
+    without a usable header are rejects."""
+    body = text.select("file", "line", "text").where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
     split = body.withColumn("cells", F.transform(F.split("text", ","), lambda c: F.trim(c)))
-    heads = split.withColumn("r", F.row_number().over(w)).where("r = 1").select("file", F.transform("cells", lambda c: F.lower(c)).alias("head"), F.col("line").alias("head_line"))
+    heads = split.groupBy("file").agg(F.min_by(F.transform("cells", lambda c: F.lower(c)), "line").alias("head"), F.min("line").alias("head_line"))
     known = heads.select("file", "head_line", *[F.array_max(F.array(*[F.array_position("head", a) for a in names])).cast("int").alias(f"at_{k}") for k, names in ALIASES.items()])
-    missing = [r.file for r in known.where(" or ".join(f"at_{k} = 0" for k in REQUIRED)).select("file").collect()]
-    if missing or heads.isEmpty():
-        raise DataFormatError(f"no usable header in {missing or 'any file'}")
+    headless = " or ".join(f"at_{k} = 0" for k in REQUIRED)
     cell = lambda k: F.when(F.col(f"at_{k}") > 0, F.try_element_at("cells", F.col(f"at_{k}")))
-    rows = split.join(F.broadcast(known) if len(heads.take(10_001)) <= 10_000 else known, "file").where("line > head_line")
+    rows = split.join(known, "file").where(f"line > head_line or {headless}")
     width = F.greatest(*[F.col(f"at_{k}") for k in ALIASES])
     optional = ("alt_gps_m", "pressure_pa", "temperature_k")
     junk = F.concat_ws(", ", *[F.when(is_junk(cell(k)), F.lit(k)) for k in optional])
-    typed = rows.select("file", "sha256", "line", "text", (F.size("cells") >= width).alias("wide"), instant(cell("epoch_utc")).alias("epoch_utc"), cell("packet_id").try_cast("int").alias("packet_id"), cell("lat").try_cast("double").alias("lat"), cell("lon").try_cast("double").alias("lon"), *[optional_number(cell(k)).alias(k) for k in optional], junk.alias("junk"))
+    typed = rows.select("file", "line", "text", F.expr(headless).alias("headless"), (F.size("cells") >= width).alias("wide"), instant(cell("epoch_utc")).alias("epoch_utc"), cell("packet_id").try_cast("int").alias("packet_id"), cell("lat").try_cast("double").alias("lat"), cell("lon").try_cast("double").alias("lon"), *[optional_number(cell(k)).alias(k) for k in optional], junk.alias("junk"))
     reason = (
-        F.when(~F.col("wide"), "too few columns")
+        F.when(F.col("headless"), NO_HEADER)
+        .when(~F.col("wide"), "too few columns")
         .when(F.col("epoch_utc").isNull(), "epoch_utc is no instant")
         .when(F.col("packet_id").isNull(), "packet_id is no whole number")
         .when(~F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), "lat out of range")
@@ -105,23 +145,40 @@ def parse_telemetry(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = typed.withColumn("reason", reason)
     first = F.row_number().over(Window.partitionBy("file", "packet_id").orderBy("line"))
     valid = judged.where("reason is null").withColumn("n", first)
-    kept = valid.where("n = 1").drop("n", "wide", "reason", "junk")
-    empty = heads.select("file").join(kept.select("file").distinct(), "file", "left_anti").take(1)
-    if empty:
-        raise DataFormatError(f"no usable sample in {empty[0].file}")
+    kept = valid.where("n = 1").drop("n", "headless", "wide", "reason", "junk")
     derived = atmos.pressure_altitude(F.col("pressure_pa"))
-    flags = set_flag(F.lit(0), INVERTED, F.col("epoch_utc") < F.lag("epoch_utc").over(w))
+    arrived = previous(kept, ["file"], "line", "epoch_utc", block, "__before")
+    flags = set_flag(F.lit(0), INVERTED, F.col("epoch_utc") < F.col("__before"))
     flags = set_flag(set_flag(flags, DROPOUT, F.col("alt_gps_m").isNull()), FROM_PRESSURE, F.col("alt_gps_m").isNull() & derived.isNotNull())
-    samples = kept.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived)).drop("text")
+    samples = arrived.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived)).drop("text", "__before")
     # a pressure outside the model is reported, its sample stays without an altitude
     outside = kept.where(F.col("alt_gps_m").isNull() & F.col("pressure_pa").isNotNull() & derived.isNull()).select("file", "line", F.lit("pressure_pa is outside the model").alias("reason"), "text")
     rejects = judged.where("reason is not null").select("file", "line", "reason", "text").unionByName(valid.where("n > 1").select("file", "line", F.lit("duplicate packet_id").alias("reason"), "text")).unionByName(outside)
     return samples, rejects
 
 
-def in_order(samples: DataFrame) -> DataFrame:
+def follow_telemetry(spark: SparkSession, folder: str, out: str):
+    """Reads the files that come to `folder` as a stream until there are no more: one
+    row in `out`/samples or `out`/rejects for each line, as `parse_telemetry` has it.
+
+    A file comes in one batch as a whole, so its header and its packet ids are
+    judged there.  A batch is written to a folder of its own number and written
+    over if it is run again, so a run that is begun anew gives nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        for rows, name in zip(parse_telemetry(number_lines(batch)), ("samples", "rejects")):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    raw = spark.readStream.text(folder).select("value", "_metadata")
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+def in_order(samples: DataFrame, parts: int = 1) -> DataFrame:
     """Samples with `place`, from 1, by time and then packet_id in each file; the flags
-    were set in order of arrival."""
+    were set in order of arrival.  With `parts` over 1 a file is numbered in ranges of time."""
+    if parts > 1:
+        return running(samples, ["file"], ["epoch_utc", "packet_id"], {"place": F.lit(1).cast("long")}, parts).drop("place_before", "place_total")
     return samples.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("epoch_utc", "packet_id")))
 
 
@@ -141,11 +198,16 @@ def read_sounding(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     fields in range; repeated heights keep the first.  A file with fewer than two
     levels raises.
     """
-    return parse_sounding(lines(spark, path))
+    text = split_lines(spark, path)
+    levels, rejects = parse_sounding(text)
+    few = text.select("file").distinct().join(levels.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where(F.coalesce("n", F.lit(0)) < 2)
+    if worst := few.agg(F.min("file")).first()[0]:
+        raise DataFormatError(f"fewer than two levels in {worst}")
+    return levels, rejects
 
 
 def parse_sounding(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`read_sounding` of lines that have been read: file, line, text."""
+    """`read_sounding` of lines that have been read (file, line, text), without a job."""
     body = text.where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
     station = body.where(F.lower("text").contains("station identifier")).groupBy("file").agg(F.min_by(F.trim(F.substring_index("text", ":", -1)), "line").alias("station"))
     cells = F.split(F.trim("text"), "\\s+")
@@ -162,9 +224,6 @@ def parse_sounding(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid = judged.where("reason is null").withColumn("r", first)
     levels = valid.where("r = 1").join(station, "file", "left").select("file", "station", "line", "pressure_pa", "height_gpm", "temperature_k", "wind_u_ms", "wind_v_ms")
     rejects = judged.where("reason is not null").select("file", "line", "reason", "text").unionByName(valid.where("r > 1").select("file", "line", F.lit("repeated height").alias("reason"), "text"))
-    few = body.select("file").distinct().join(levels.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where(F.coalesce("n", F.lit(0)) < 2)
-    if not few.isEmpty():
-        raise DataFormatError(f"fewer than two levels in {few.first().file}")
     return levels, rejects
 
 

@@ -1,6 +1,32 @@
+import datetime as dt
+import random
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lofted.operators import series
+from lofted.plans import replay
+from lofted.streaming import burst, due, ordered
+
+KIND = "flight string, id long, s double, alt_m double, burst boolean, at timestamp"
+START = dt.datetime(2026, 9, 14, 4, 30)
+
+
+def at(s):
+    return None if s is None else START + dt.timedelta(seconds=s)
 
-from lofted.streaming import burst
+
+def fed(spark, tmp_path, batches):
+    """A stream of one batch for each list of (flight, id, s, alt_m, burst)."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(*r, at(r[2])) for r in rows], KIND).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:03d}"))
+    return spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+
+
+def flight(name, rng, top=200, n=250):
+    alt = np.concatenate([np.arange(top) * 5.0, top * 5.0 - 20 * np.arange(float(n - top))]) + rng.standard_normal(n)
+    return [(name, i, float(i), float(v), False) for i, v in enumerate(alt)]
 
 
 def test_detector_keeps_state_between_batches(spark, tmp_path):
@@ -9,9 +35,63 @@ def test_detector_keeps_state_between_batches(spark, tmp_path):
     rows = [("a", float(i), float(v)) for i, v in enumerate(alt)] + [("b", float(i), 5.0 * i) for i in range(250)]
     kind = "flight string, s double, alt_m double"
     for k, part in enumerate(([r for r in rows if r[1] < 203], [r for r in rows if r[1] >= 203])):
-        spark.createDataFrame([*part, ("a", 100.5 + 100 * k, None)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([*part, ("a", 100.5 + 100 * k, None), ("a", None, 5.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = burst.detect(stream).writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     (found,) = spark.table("bursts").collect()
     assert found.flight == "a" and abs(found.peak_s - 200) <= 2 and 200 <= found.detected_s <= 212
+
+
+def test_unordered_batches_give_the_rows_of_a_batch(spark, tmp_path):
+    rng, shuffle = np.random.default_rng(5), random.Random(7)
+    rows = [*flight("a", rng), *flight("b", rng, 120), *flight("c", rng, 250), ("a", 900, 100.5, None, False), ("b", 7, 7.0, 35.0, False)]
+    last = ("z", 0, 400.0, 0.0, False)
+    # arrival strays by under 30 seconds; four batches overlap in time
+    arrival = sorted(rows, key=lambda r: r[2] + shuffle.uniform(0, 29))
+    batches = [arrival[k::1][:0] for k in range(4)]
+    for k, r in enumerate(arrival):
+        batches[min(3, k * 4 // len(arrival))].append(r)
+    stream = fed(spark, tmp_path, [*batches, [last]])
+    made = ordered.run(burst.detect_ordered(stream, ["flight"], "at", "id", "s", "alt_m", "30 seconds"), str(tmp_path / "run"))
+    whole = spark.createDataFrame([r[:4] for r in rows], "flight string, id long, s double, alt_m double")
+    want = series.detect_burst(whole, ["flight"], ["s", "id"], "alt_m", "s").select("flight", "detected_s", "peak_s", "peak")
+    assert sorted(map(tuple, burst.bursts(made, ["flight"]).collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() == 2 and burst.rejects(made, ["flight"]).count() == 0
+
+
+def test_arrival_0_3_1_2_and_late_rows_are_rejects(spark, tmp_path):
+    class Seen(ordered.InOrder):
+        row, own, out = "s double", "n long", "place long, s double"
+
+        def begin(self):
+            return (0,)
+
+        def step(self, key, state, us, row):
+            return (state[0] + 1,), [(state[0] + 1, row[0])]
+
+    batches = [[("a", k, float(k), 1.0, False)] for k in (0, 3, 1, 2)] + [[("z", 0, 60.0, 1.0, False)], [("a", 4, 4.0, 1.0, False), ("a", 5, None, 1.0, False)]]
+    stream = fed(spark, tmp_path, batches)
+    made = ordered.run(ordered.processed(stream, ["flight"], "at", "id", {"s": F.col("s")}, Seen(), "5 seconds"), str(tmp_path / "run"))
+    assert sorted((r.place, r.s) for r in made.where("flight = 'a' and not late").collect()) == [(1, 0.0), (2, 1.0), (3, 2.0), (4, 3.0)]
+    assert sorted((r.id, r.late_s) for r in made.where("late").collect()) == [(4, 4.0), (5, None)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_due_updates_of_a_stream_equal_those_of_the_log(spark, tmp_path, seed):
+    own = random.Random(seed)
+    rows = []
+    for f in "abcd":
+        s = 0.0
+        for k in range(60):
+            s += own.choice([0.0, 1.0, 7.5, 20.0])
+            rows.append((f, k, s, own.choice([None, 10.0, 900.0, 1500.0, 2000.0]), own.random() < 0.05))
+    rows.append(("e", 0, 5.0, 2000.0, False))
+    arrival = sorted(rows, key=lambda r: r[2] + own.uniform(0, 39))
+    cut = [arrival[k * 50 : k * 50 + 50] for k in range(-(-len(arrival) // 50))]
+    stream = fed(spark, tmp_path, [*cut, [("z", 0, 5_000.0, 0.0, False)]])
+    made = ordered.run(due.due_updates(stream, ["flight"], "at", "id", "s", "alt_m", "burst", 50.0, 100.0, 600.0, "40 seconds"), str(tmp_path / "run"))
+    log = spark.createDataFrame([r[:5] for r in rows], "flight string, id long, s double, alt_m double, burst boolean")
+    want = replay.due_updates(log, ["flight"], 50.0, 100.0).select("flight", "fired_s")
+    assert sorted(map(tuple, due.fired(made, ["flight"]).collect())) == sorted(map(tuple, want.collect()))
+    assert made.where("late").count() == 0
