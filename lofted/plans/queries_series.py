@@ -12,7 +12,7 @@ from ..sources import text
 from ..sources.store import shared_root
 from ..streaming import burst, due, ordered
 from .provenance import Run
-from .queries import _STATE, ORACLE_SQL, _altitude, events, query, read
+from .queries import ORACLE_SQL, _altitude, events, query, read
 from .queries_domain import _ERF, _TELEMETRY, _log_lines
 
 # ---- one long series
@@ -45,7 +45,7 @@ def detector_lag(spark, sf):
 
 
 @query("""with recursive e as (select (l_orderkey * 8 + l_linenumber)::double as s, bool_or(l_partkey % 1009 = 0) as f from lineitem group by 1),
-n as (select e.s, least(coalesce(u.s, 1e18), coalesce(v.s, 1e18)) as nxt from e asof left join e u on e.s + 500 <= u.s asof left join (select s from e where f) v on e.s < v.s),
+n as materialized (select e.s, least(coalesce(u.s, 1e18), coalesce(v.s, 1e18)) as nxt from e asof left join e u on e.s + 500 <= u.s asof left join (select s from e where f) v on e.s < v.s),
 r(s) as (select min(s) from e union all select nxt from r join n using (s) where nxt < 1e18)
 select s as fired_s from r where s is not null""")
 def throttle_long(spark, sf):
@@ -193,13 +193,13 @@ def censored_redraw(spark, sf):
     return own.select("l_orderkey", "l_linenumber", F.round(share, 6).alias("u"), (F.col("x") >= F.col("reached")).alias("beyond"))
 
 
-@query(f"select l_orderkey, l_linenumber, round(z, 5) as altitude_m from ({_STATE})")
+@query("select p_partkey, round(p_retailprice * 40, 5) as altitude_m from part")
 def bisected_altitude(spark, sf):
     """The altitude of each pressure, by halving 0 to 86 km."""
-    li = atmos.with_state(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") % 86000).alias("z")), F.col("z"))
+    own = atmos.with_state(read(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 40).alias("z")), F.col("z"))
     log_p = F.log("pressure_pa")
-    root = roots.bisect(lambda z: F.log(atmos.pressure(z)) - log_p, F.lit(-1.0), F.lit(86_000.0), 48)
-    return li.select("l_orderkey", "l_linenumber", F.round(root, 5).alias("altitude_m"))
+    root = roots.bisect(lambda z: F.log(atmos.pressure(z)) - log_p, F.lit(-1.0), F.lit(86_000.0), 40)
+    return own.select("p_partkey", F.round(root, 5).alias("altitude_m"))
 
 
 @query("select l_orderkey, max(case when l_linenumber = 1 then l_extendedprice end) as free_lift_kg, max(case when l_linenumber = 2 then l_extendedprice end) as ascent_cd, 7.0 * max(case when l_linenumber = 3 then l_extendedprice end) as burst_diameter_m, 1.0::double as wind_scale from lineitem group by 1")
