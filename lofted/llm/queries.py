@@ -125,31 +125,40 @@ from scored qualify row_number() over (partition by query_id order by score desc
 
 
 def _op7_sql() -> str:
-    rows, other = license_scan.weights()
-    words = ", ".join(f"('{w}', {t}, {i!r}, {x!r})" for w, t, i, x in rows)
-    names = ", ".join(f"({t}, '{name}')" for t, (name, _) in enumerate(license_scan.TEMPLATES))
+    tables = ((0, license_scan.WHOLES, license_scan.TEXT_FLOOR), (1, license_scan.LINES, license_scan.LINE_FLOOR))
+    words, names, other = [], [], {}
+    for kind, templates, floor in tables:
+        rows, other[kind] = license_scan.weights(templates, floor)
+        words += [f"({kind},'{w}',{t},{i:.17e},{x:.17e})" for w, t, i, x in rows]
+        names += [f"({kind}, {t}, '{name}')" for t, (name, _) in enumerate(templates)]
     notice = license_scan.NOTICE
     return f"""
 with files as (select row_number() over () as fid, doc_id, source || '/' || cast(doc_id // 1000 as varchar) || '/' || doc_id || '.txt' as path, text from documents),
-w(word, t, idf, x) as (values {words}),
-idf as (select distinct word, idf from w),
-names(t, name) as (values {names}),
+w(kind, word, t, idf, x) as (values {",".join(words)}),
+idf as (select distinct kind, word, idf from w),
+names(kind, t, name) as (values {", ".join(names)}),
 lines as (select fid, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from files where regexp_matches(text, '{notice}')),
 notices as (
   select fid, n, regexp_extract_all(lower(line), '[a-z0-9]+') as tokens from lines where regexp_matches(line, '{notice}')
   union all select fid, 0, regexp_extract_all(lower(text), '[a-z0-9]+') from files where regexp_matches(text, '{notice}')),
-terms as (select fid, n, word, count(*) as tf from (select fid, n, unnest(tokens) as word from notices) group by all),
-vectors as (select fid, n, word, tf * coalesce(idf, {other!r}) as v from terms left join idf using (word)),
+terms as (select fid, n, case when n = 0 then 0 else 1 end as kind, word, count(*) as tf from (select fid, n, unnest(tokens) as word from notices) group by all),
+vectors as (select fid, n, kind, word, tf * coalesce(idf, case when kind = 0 then {other[0]:.17e} else {other[1]:.17e} end) as v from terms left join idf using (kind, word)),
 norms as (select fid, n, sqrt(sum(v * v)) as norm from vectors group by all),
-dots as (select fid, n, t, round(sum(v * x) / any_value(norm), 6) as score from vectors join w using (word) join norms using (fid, n) group by all),
-best as (select fid, n, max(score) as score, arg_max(t, score * 1000000 - t * 0.001) as t from dots group by all),
-good as (select fid, n, score, t from best where score >= {license_scan.MIN_SCORE}),
-own as (select fid, max(score) as own_score, arg_max(t, score * 1000000 - t * 0.001) as t from good group by fid),
+dots as (select fid, n, kind, t, round(sum(v * x) / any_value(norm), 6) as score from vectors join w using (kind, word) join norms using (fid, n) group by all),
+named as (select * from dots join names using (kind, t)),
+best as (select fid, n, max(score) as score, arg_max(name, score * 1000000 - t * 0.001) as name from named group by all),
+second as (select d.fid, d.n, max(d.score) as score from named d join best b on b.fid = d.fid and b.n = d.n and b.name <> d.name group by all),
+good as (
+  select b.fid, b.n, b.score, b.name from best b left join second s using (fid, n)
+  where case when b.n = 0 then b.score >= {license_scan.TEXT_SCORE} and b.score - coalesce(s.score, 0) >= {license_scan.TEXT_MARGIN} else b.score >= {license_scan.MIN_SCORE} end),
+tops as (select g.fid, g.score, arg_max(d.name, -d.t) as name, any_value(g.n) as n, -min(d.t) as minus from good g join named d on d.fid = g.fid and d.n = g.n and d.score = g.score and d.name = g.name group by g.fid, g.n, g.score),
+own as (select fid, coalesce(max(score) filter (where n = 0), max(score) filter (where n > 0)) as own_score,
+    coalesce(max(name) filter (where n = 0), arg_max(name, score * 1000000 + minus * 0.001) filter (where n > 0)) as name from tops group by fid),
 covered as (select fid, coalesce(sum(len(tokens)) filter (where n > 0), 0) as c, max(n = 0) as whole from good join notices using (fid, n) group by fid),
+sized as (select f.*, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as size, coalesce(whole, false) as whole, coalesce(c, 0) as c, own.name, own.own_score as s from files f left join own using (fid) left join covered using (fid)),
 judged as (
-  select f.*, name as own_license, own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
-    own.t is not null and (whole or c >= {license_scan.FILE_SHARE} * len(regexp_extract_all(lower(text), '[a-z0-9]+'))) as is_file
-  from files f left join own using (fid) left join names using (t) left join covered using (fid)),
+  select fid, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, name is not null and (whole or c >= {license_scan.FILE_SHARE} * size) as is_file,
+    name as own_license, s as own_score from sized),
 dirs as (select dir, arg_min(own_license, (-own_score, own_license)) as license, max(own_score) as score from judged where is_file group by dir),
 above as (select j.fid, d.dir as license_dir, d.license, d.score, row_number() over (partition by j.fid order by length(d.dir) desc) as r
   from judged j join dirs d on j.dir = d.dir or starts_with(j.dir, d.dir || '/') or d.dir = '' where j.own_license is null)

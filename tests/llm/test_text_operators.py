@@ -317,6 +317,21 @@ def test_license_inheritance(spark):
     assert got == {1: ("MIT", "own", None), 2: ("GPL-3.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: (None, None, None), 5: (None, None, None), 6: ("GPL-3.0", "own", None)}
 
 
+def test_license_of_whole_texts(spark):
+    """Each public text has its own name, whatever its lines say, and hands it down."""
+    texts = {name: t for name, t in license_scan.WHOLES[len(license_scan.TEXTS) :]}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= set(texts)
+    bsd = "Copyright (c) The Authors. All rights reserved.\n\n" + dict(license_scan.TEXTS)["BSD-3-Clause"].replace(". ", ".\n").replace("copyright holder", "University")
+    rows = [(n, f"p{n}/LICENSE", "Copyright 2024 Someone\n\n" + t) for n, t in texts.items()] + [(n + " child", f"p{n}/a/b/x.py", "import os") for n in texts]
+    rows += [("BSD-3-Clause", "b/LICENSE", bsd), ("BSD-3-Clause child", "b/x", "x")]
+    odd = "This licence is made up. " + " ".join(f"word{k} shall bind the parties" for k in range(80)) + "\nLicensed under CC BY 4.0.\n"
+    rows += [("none", "n/LICENSE", "Copyright 2020 Foo. All rights reserved.\n" * 3), ("none child", "n/x", "x"), ("odd", "o/COPYING", odd), ("odd child", "o/x", "x")]
+    got = {r.id: (r.license, r.basis) for r in license_scan.scan(spark.createDataFrame(rows, "id string, path string, text string")).collect()}
+    for name in [*texts, "BSD-3-Clause"]:
+        assert got[name] == (name, "own") and got[name + " child"] == (name, "inherited")
+    assert all(got[k] == (None, None) for k in ("none", "none child", "odd", "odd child"))
+
+
 def test_license_texts_and_odd_files(spark):
     wrapped = dict(license_scan.TEXTS)["MIT"].split()
     wrapped = "\n".join(" ".join(wrapped[i : i + 8]) for i in range(0, len(wrapped), 8))
