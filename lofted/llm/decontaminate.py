@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds, whole and gapped, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, q
-from .shingles import MARKS, ngrams, rows_of_words
+from .shingles import MARKS, mix, ngrams, rows_of_words
 
 #: Words of a seed; the share of all documents up to which a seed is rare.
 SEED_WORDS, RARE_SHARE = 3, 0.001
-#: An item of fewer words is found only where it is all of a text, as most texts hold its words by chance.
+#: An item of fewer words is found where its words stand in a row, without a seed; one of a single word only where it is all of a text.
 MIN_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a hit, as a share of the score of the item's own text.
@@ -53,6 +53,17 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's seeds and the word each begins with: runs of SEED_WORDS words,
+    and those of one word more with the last but one left open, so that a copy in
+    which every third word is another one still has seeds."""
+    runs = ngrams(words, SEED_WORDS)
+    if len(words) <= SEED_WORDS:
+        return runs, np.arange(len(runs))
+    gapped = mix(ngrams(words, SEED_WORDS - 1)[: len(runs) - 1] + mix(words[SEED_WORDS:] ^ np.uint64(SEED_WORDS)))
+    return np.concatenate((runs, gapped)), np.concatenate((np.arange(len(runs)), np.arange(len(gapped))))
+
+
 @dataclass(frozen=True)
 class Items:
     """Test items of one pass: their words, seeds sorted by hash with the item and
@@ -70,7 +81,7 @@ class Items:
 def prepare(rows: list[tuple]) -> Items:
     """Items of (id, text) rows that have words."""
     short: dict[bytes, list[int]] = {}
-    ids, words, seeds, item, place = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ids, words, hashes, item, place = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row, own, _, _, _ in rows_of_words(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())), MARKS):
         if len(own) < MIN_WORDS:
             if len(own):
@@ -78,13 +89,13 @@ def prepare(rows: list[tuple]) -> Items:
                 ids.append(rows[row][0])
                 words.append(own)
             continue
-        grams = ngrams(own, SEED_WORDS)
-        seeds.append(grams)
+        grams, places = seeds(own)
+        hashes.append(grams)
         item.append(np.full(len(grams), len(ids)))
-        place.append(np.arange(len(grams)))
+        place.append(places)
         ids.append(rows[row][0])
         words.append(own)
-    s, i, p = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
+    s, i, p = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
     order = np.argsort(s, kind="stable")
     return Items(tuple(ids), tuple(words), s[order], i[order], p[order], np.ones(len(s), bool), short)
 
@@ -98,6 +109,11 @@ class _Lookup:
         self.bits = max(12, int(len(self.unique)).bit_length() + 5)
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.unique >> np.uint64(64 - self.bits)] = True
+        self.phrases: dict[int, dict[int, list[int]]] = {}
+        for k, own in items.short.items():
+            run = np.frombuffer(k, np.uint64)
+            if len(run) > 1:
+                self.phrases.setdefault(len(run), {}).setdefault(int(ngrams(run, len(run))[0]), []).extend(own)
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in `grams` that are seeds, and which unique seed each is."""
@@ -109,6 +125,20 @@ class _Lookup:
         return at[hit], which[hit]
 
 
+def _short(words: np.ndarray, lookup: _Lookup) -> dict[int, tuple[int, float, int, int]]:
+    """Items of few words whose words stand in a row in a text, where they first do."""
+    items, found = lookup.items, {}
+    if len(words) == 1:
+        found = {k: (k, 1.0, 0, 1) for k in items.short.get(words.tobytes(), ())}
+    for n, known in lookup.phrases.items():
+        grams = ngrams(words, n)
+        for at in np.flatnonzero(np.isin(grams, np.fromiter(known, np.uint64, len(known)))).tolist():
+            for k in known[int(grams[at])]:
+                if k not in found and np.array_equal(items.words[k], words[at : at + n]):
+                    found[k] = (k, 1.0, at, at + n)
+    return found
+
+
 def _in_common(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which words of either sequence stand in the other."""
     if len(item) * len(words) > PAIRS:
@@ -132,10 +162,12 @@ def align(words: np.ndarray, lookup: _Lookup) -> list[tuple[int, float, int, int
     common; those of common seeds only where no bound rules the score out.
     """
     items = lookup.items
-    found = {k: (k, 1.0, 0, len(words)) for k in items.short.get(words.tobytes(), ())} if 0 < len(words) < MIN_WORDS else {}
-    at, which = lookup.find(ngrams(words, SEED_WORDS))
+    found = _short(words, lookup)
+    grams, places = seeds(words)
+    at, which = lookup.find(grams)
+    at = places[at]
     if not len(at):
-        return list(found.values())
+        return [found[k] for k in sorted(found)]
     low, high = np.searchsorted(items.seeds, lookup.unique[which]), np.searchsorted(items.seeds, lookup.unique[which], "right")
     many = high - low
     rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -182,7 +214,7 @@ def rare(docs: DataFrame, items: Items, share: float = RARE_SHARE) -> Items:
         for b in batches:
             rows += b.num_rows
             for _, words, _, _, _ in rows_of_words(pc.utf8_lower(b.column(0)), MARKS):
-                _, which = lookup.find(ngrams(words, SEED_WORDS))
+                _, which = lookup.find(seeds(words)[0])
                 if len(which):
                     totals[np.unique(which)] += 1
         used = np.flatnonzero(totals)
@@ -203,8 +235,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple
     """`docs` with an array of (item_id, score, first, end), and its name: the items
     that a text holds a copy of, also an edited one, with the words it covers.
 
-    Null and empty texts hold none; items without words are not looked for, and
-    those of fewer than MIN_WORDS only as all of a text; item_id may be null;
+    Null and empty texts hold none; items without words are not looked for, those
+    of fewer than MIN_WORDS are found word for word only, and one of a single word
+    only as all of a text; item_id may be null;
     equal items under one id count once.  Rows and all their columns stay,
     repeated ones too; an empty table of either kind gives no hits.
     """

@@ -90,7 +90,7 @@ def local_score(a, b):
 
 def test_decontamination(spark, folder, stages):
     items = [words(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} | {(w[i], w[i + 1], None, w[i + 3]) for i in range(len(w) - 3)}
     hit = set()
     for r in stages[2]:
         own = words(r.text or "")
