@@ -21,6 +21,21 @@ def balloon_rules() -> dict[str, Column]:
     return {"name": F.length(F.trim("name")) > 0} | positive | drag | {"burst_diameter_m": F.col("burst_diameter_m") > F.col("launch_diameter_m"), "gas": F.upper("gas").isin("HELIUM", "HYDROGEN")}
 
 
+def settings_rules() -> dict[str, Column]:
+    """Rules of a simulation's settings (step_s, t_end_s, integrator, state_sample_stride)."""
+    return {"step_s": (F.col("step_s") > 0) & (F.col("step_s") <= F.col("t_end_s")), "t_end_s": F.col("t_end_s") > 0, "integrator": F.upper(F.trim("integrator")).isin("RK4", "RKF45"), "state_sample_stride": F.col("state_sample_stride") >= 1}
+
+
+def replay_rules() -> dict[str, Column]:
+    """Rules of a replay's options (particles, filters, members, gap_s, every)."""
+    return {"particles": (F.col("particles") >= 2) & (F.col("particles") >= 2 * F.col("filters")), "filters": F.col("filters") >= 1, "members": F.col("members") >= 1, "gap_s": F.col("gap_s") > 0, "every": F.col("every") >= 1}
+
+
+def mission_rules() -> dict[str, Column]:
+    """Rules of a mission (name, launch_lat, launch_lon, launch_alt_m, launch_epoch)."""
+    return {"name": F.length(F.trim("name")) > 0, "launch_lat": F.col("launch_lat").between(-90, 90), "launch_lon": F.col("launch_lon").between(-180, 180), "launch_alt_m": F.col("launch_alt_m").between(-500, 6000), "launch_epoch_utc": F.col("launch_epoch").isNotNull()}
+
+
 def has_flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(bit) != 0
 

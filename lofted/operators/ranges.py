@@ -32,6 +32,42 @@ def cut_points(df: DataFrame, column: str, parts: int = PARTS) -> list:
     return sorted({v for v in made or [] if v is not None})
 
 
+def cut_tuples(df: DataFrame, order: list[str], parts: int = PARTS) -> list[tuple]:
+    """Cut points of the first column of `order`; a value that fills more than one range
+    is cut by the second column, where that is a number or a time."""
+    if parts < 2:
+        return []
+    (made,) = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 10 * parts)).first()
+    found = [v for v in made or [] if v is not None]
+    heavy = {v: found.count(v) for v in found if found.count(v) > 1}
+    kinds = dict(df.dtypes)
+    if len(order) < 2 or not heavy or not (kinds[order[1]] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or kinds[order[1]].startswith("decimal")):
+        return sorted({(v,) for v in found})
+    shares = [k / parts for k in range(1, parts)]
+    inner = df.where(F.col(order[0]).isin(list(heavy))).groupBy(order[0]).agg(F.percentile_approx(order[1], shares, 10 * parts)).collect()  # a row for each heavy value, fewer than `parts`
+    cuts = {(v,) for v in found}
+    for v, points in inner:
+        step = max(1, parts // (heavy[v] + 1))
+        cuts |= {(v, w) for w in points[step - 1 :: step] if w is not None}
+    return sorted(cuts)
+
+
+def range_of_tuple(columns: list[Column], cuts: list[tuple]) -> Column:
+    """`range_of` for cuts of one or two columns; (v,) lies before all (v, w)."""
+
+    def under(cut: tuple) -> Column:
+        first = columns[0] < F.lit(cut[0])
+        return first if len(cut) == 1 else first | ((columns[0] == F.lit(cut[0])) & F.coalesce(columns[1] < F.lit(cut[1]), F.lit(True)))
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(under(cuts[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return tree(0, len(cuts))
+
+
 def range_of(x: Column, cuts: list) -> Column:
     """How many of the sorted cuts are not above x, by a tree of comparisons; null is beyond all."""
 
@@ -48,9 +84,10 @@ def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, Co
     """`df` with, for each name in `values`, the sum of that value over the rows of
     the group up to this one (name), before it (name_before) and in all
     (name_total).  `order` tells the rows of a group apart; its first column is a
-    number or a time.  With `parts` of 1 a group is one range."""
-    names, cuts = list(values), cut_points(df, order[0], parts)
-    cut = df.withColumn("__range", range_of(F.col(order[0]), cuts))
+    number or a time; rows that share its value are cut by the second.  With `parts`
+    of 1 a group is one range."""
+    names, cuts = list(values), cut_tuples(df, order, parts)
+    cut = df.withColumn("__range", range_of_tuple([F.col(c) for c in order[:2]], cuts))
     w = Window.partitionBy(*by, "__range").orderBy(*order)
     summed = cut.select("*", *[F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__own_{k}") for k, v in values.items()])
     own = summed.select("*", *[F.coalesce(F.lag(f"__own_{k}").over(w), F.lit(0)).alias(f"__ago_{k}") for k in names])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.gauss import Distribution, inverse_cdf
+from ..functions.geo import METRES_PER_DEGREE, metres_per_degree_lon
+from .series import blocks
 
 
 def uniform(seed: Column | int, *keys: Column) -> Column:
@@ -58,3 +60,40 @@ def design(spark: SparkSession, n: int, spec: list[tuple[str, Distribution]], se
     names = [name for name, _ in spec]
     named = long.select("member", F.get(F.array(*map(F.lit, names)), F.col("dim").cast("int")).alias("name"), value.alias("value"))
     return named.groupBy("member").pivot("name", names).agg(F.first("value"))
+
+
+def dropout_runs(df: DataFrame, by: list[str], order: list[str], starts: Column, rows: int = 3, out: str = "dropped", block: int | None = None) -> DataFrame:
+    """Marks each row at which a dropout starts and the `rows` - 1 after it in its
+    series; dropouts that overlap run on.  With `block` a long series is many tasks."""
+    began = df.withColumn("__began", F.coalesce(starts, F.lit(False)).cast("int"))
+    if block:
+        began = blocks(began, by, order, rows - 1, block)
+        w = Window.partitionBy(*by, "__block").orderBy("__n")
+    else:
+        w = Window.partitionBy(*by).orderBy(*order)
+    marked = began.withColumn(out, F.max("__began").over(w.rowsBetween(1 - rows, 0)) == 1)
+    return (marked.where(~F.col("__halo")) if block else marked).select(*df.columns, out)
+
+
+# Noise of a tracker in metres, metres, a share of the pressure and kelvin; how often a dropout starts and how many samples it lasts.
+NOISE = {"flat_m": 8.0, "alt_m": 10.0, "pressure": 0.002, "temperature_k": 1.0, "dropout": 0.004, "run": 3}
+
+
+def noisy(df: DataFrame, by: list[str], order: list[str], seed: int, profile: dict | None = None, block: int | None = None) -> DataFrame:
+    """Samples (lat, lon, alt_m, pressure_pa, temperature_k, and `by` and `order`, which
+    tell a row apart) as a tracker gives them: places, altitudes, pressures and
+    temperatures stray, and the altitude is missing in runs.  The noise is of the
+    seed, `by` and `order` alone, however rows are dealt out; nulls stay null."""
+    p = NOISE | (profile or {})
+    keys = [F.col(c) for c in (*by, *order)]
+    z = lambda name: normal(seed, F.lit(name), *keys)
+    began = uniform(seed, F.lit("dropout"), *keys) < p["dropout"]
+    marked = dropout_runs(df, by, order, began, p["run"], "__dropped", block)
+    strayed = {
+        "lat": F.col("lat") + z("lat") * p["flat_m"] / METRES_PER_DEGREE,
+        "lon": F.col("lon") + z("lon") * p["flat_m"] / metres_per_degree_lon(F.col("lat")),
+        "alt_m": F.when(~F.col("__dropped"), F.col("alt_m") + z("alt_m") * p["alt_m"]),
+        "pressure_pa": F.col("pressure_pa") * (1 + z("pressure_pa") * p["pressure"]),
+        "temperature_k": F.col("temperature_k") + z("temperature_k") * p["temperature_k"],
+    }
+    return marked.select(*[strayed[c].alias(c) if c in strayed else F.col(c) for c in df.columns])

@@ -366,4 +366,4 @@ def filter_bank(spark, sf):
     return bank.run(log, sim.Config(), sim.Settings(step_s=0.5), filters=4, particles=25)
 
 
-from . import queries_domain, queries_series  # noqa: E402,F401  they register their queries
+from . import queries_domain, queries_reports, queries_series  # noqa: E402,F401  they register their queries

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import atmos, gauss, roots
-from ..operators import jitter, quality, series, weights
+from ..operators import jitter, quality, sample, series, weights
 from ..sources import text
 from ..sources.store import shared_root
 from ..streaming import burst, due, ordered
@@ -54,6 +54,24 @@ def throttle_long(spark, sf):
     return series.throttle(li, [], "s", 500.0, F.col("f"), parts=32)
 
 
+@query("select l_orderkey * 8 + l_linenumber as k, max(max(case when l_partkey % 41 = 0 then 1 else 0 end)) over (order by l_orderkey * 8 + l_linenumber rows between 2 preceding and current row) = 1 as dropped from lineitem group by 1")
+def dropout_runs(spark, sf):
+    """Runs of missing samples in one long series, by blocks."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    own = read(spark, sf, "lineitem").groupBy(k.alias("k")).agg(F.max((F.col("l_partkey") % 41 == 0).cast("int")).alias("began"))
+    return sample.dropout_runs(own.withColumn("run", F.lit(1)), ["run"], ["k"], F.col("began") == 1, block=500).select("k", "dropped")
+
+
+@query("select c_custkey, true as kept, true as near from customer")
+def noisy_samples(spark, sf):
+    """Customers as samples: what strays stays within eight deviations, and what is not known stays unknown."""
+    c = F.col("c_custkey")
+    own = read(spark, sf, "customer").select("c_custkey", (c % 80).cast("double").alias("lat"), (c % 170).cast("double").alias("lon"), F.when(c % 5 > 0, c.cast("double")).alias("alt_m"), F.lit(90_000.0).alias("pressure_pa"), F.lit(None).cast("double").alias("temperature_k"), F.lit(1).alias("run"))
+    out = sample.noisy(own, ["run"], ["c_custkey"], 5, {"dropout": 0.0}, block=400)
+    near = (F.abs(F.col("lat") - c % 80) < 8 * 8 / 110_000) & (F.abs(F.col("pressure_pa") / 90_000 - 1) < 0.016) & F.coalesce(F.abs(F.col("alt_m") - c) < 80, F.lit(True))
+    return out.select("c_custkey", ((F.col("alt_m").isNull() == (c % 5 == 0)) & F.col("temperature_k").isNull()).alias("kept"), near.alias("near"))
+
+
 # ---- streams
 
 

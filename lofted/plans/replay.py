@@ -79,6 +79,8 @@ def run(log: DataFrame, config: Config, settings: Settings, filters: int = 16, p
     """
     flight = F.col("flight").cast("string") if "flight" in log.columns else F.lit("")
     log = log.where("s is not null").withColumn("flight", flight)
+    if log.select("flight").distinct().limit(2).count() > 1:
+        raise ValueError("a replay is of one flight")
     burst = series.detect_burst(log, ["flight"], ["s"], "alt_m", "s")
     found = burst.agg(F.min("detected_s").alias("s")).first().s
     particles_of = bank.run_filters(log, config, settings, filters, particles, seed, every, found).persist()

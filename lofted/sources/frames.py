@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import atmos
-from ..functions.geo import METRES_PER_DEGREE, metres_per_degree_lon, wrap180
+from ..functions.geo import METRES_PER_DEGREE, bearing, haversine, metres_per_degree_lon, wrap180
+from ..operators.ellipse import ring
+from ..operators.ranges import matched
 
 
 def altitude(states: DataFrame) -> DataFrame:
@@ -18,7 +20,25 @@ def footprint(points: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame
     """Points in kilometres east and north of the centre of their group."""
     east = wrap180(F.col("lon") - F.col("centre_lon")) * metres_per_degree_lon(F.col("centre_lat")) / 1000
     north = (F.col("lat") - F.col("centre_lat")) * METRES_PER_DEGREE / 1000
-    return points.join(centres.select(*by, "centre_lat", "centre_lon"), by).withColumns({"east_km": east, "north_km": north}).drop("centre_lat", "centre_lon")
+    return matched(points, centres.select(*by, "centre_lat", "centre_lon"), by).withColumns({"east_km": east, "north_km": north}).drop("centre_lat", "centre_lon")
+
+
+def outlines(ellipses: DataFrame, by: list[str], steps: int = 72) -> DataFrame:
+    """The rings of ellipses in kilometres about their centres: by, confidence, vertex, east_km, north_km."""
+    corner = F.posexplode(ring(steps)).alias("vertex", "p")
+    east = wrap180(F.col("p.lon") - F.col("centre_lon")) * metres_per_degree_lon(F.col("centre_lat")) / 1000
+    north = (F.col("p.lat") - F.col("centre_lat")) * METRES_PER_DEGREE / 1000
+    return ellipses.select(*by, "confidence", "centre_lat", "centre_lon", corner).select(*by, "confidence", "vertex", east.alias("east_km"), north.alias("north_km"))
+
+
+def drift(centres: DataFrame, launches: DataFrame, by: list[str]) -> DataFrame:
+    """Where each group's launch lies from its centre, in kilometres, and how far and
+    on what bearing the balloon drifted: by, launch_east_km, launch_north_km, drift_km, bearing_deg."""
+    told = matched(centres.select(*by, "centre_lat", "centre_lon"), launches.select(*by, "launch_lat", "launch_lon"), by)
+    at = [F.col(c) for c in ("launch_lat", "launch_lon", "centre_lat", "centre_lon")]
+    east = wrap180(at[1] - at[3]) * metres_per_degree_lon(at[2]) / 1000
+    north = (at[0] - at[2]) * METRES_PER_DEGREE / 1000
+    return told.select(*by, east.alias("launch_east_km"), north.alias("launch_north_km"), (haversine(*at) / 1000).alias("drift_km"), bearing(*at).alias("bearing_deg"))
 
 
 def posterior(bands: DataFrame, truth: dict[str, float] | None = None) -> DataFrame:

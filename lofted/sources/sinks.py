@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ellipse import area_m2, ring
+from ..operators.weights import degenerate
 
 
 def fixed(name: str, decimals: int) -> Column:
@@ -75,6 +78,51 @@ def console_checks(checks: DataFrame) -> DataFrame:
     return checks.select("case_name", line.alias("line"))
 
 
+def _told(rows: DataFrame, by: list[str], *parts: Column) -> DataFrame:
+    """by, place and line: the parts of a row that are not null, one below the other."""
+    said = F.filter(F.array(*parts), lambda p: p.isNotNull())
+    return rows.select(*by, F.posexplode(said).alias("place", "line"))
+
+
+def console_prediction(summaries: DataFrame, by: list[str]) -> DataFrame:
+    """The lines that tell of a flight, from `series.summary`: by, place, line."""
+    c = F.col
+    return _told(
+        summaries, by,
+        F.when(c("burst_s").isNotNull(), F.format_string("burst at %.0f m after %.0f s", "burst_alt_m", "burst_s")),
+        F.when(c("landing_lat").isNotNull(), F.format_string("lands at %.6f, %.6f", "landing_lat", "landing_lon")),
+        F.format_string("in flight for %.0f s, %.0f min", "duration_s", c("duration_s") / 60),
+        F.format_string("highest at %.0f m", "apogee_m"),
+        F.when(c("wind_held") > 0, F.format_string("warning: wind held beyond the sounding in %d of %d states", "wind_held", "states")),
+    )
+
+
+def console_footprint(ellipses: DataFrame, by: list[str]) -> DataFrame:
+    """The lines that tell of landing ellipses, the widest last: by, confidence, place, line."""
+    c = F.col
+    return _told(
+        ellipses, [*by, "confidence"],
+        F.format_string("%.0f%% of %d members about %.6f, %.6f", c("confidence") * 100, "n", "centre_lat", "centre_lon"),
+        F.format_string("%.2f by %.2f km on %.0f degrees, %.2f square km", c("semi_major_m") / 500, c("semi_minor_m") / 500, "azimuth_deg", math.pi * c("semi_major_m") * c("semi_minor_m") / 1e6),
+    )
+
+
+def console_flights(truths: DataFrame) -> DataFrame:
+    """A line for each flight that was made up (name, burst_alt_m, ascent_cd, free_lift_kg,
+    sample_count), and one, without a name, for the span of their bursts."""
+    own = truths.select("name", F.format_string("%-16s burst %.0f m, drag %.4f, lift %.4f kg, %d samples", "name", "burst_alt_m", "ascent_cd", "free_lift_kg", "sample_count").alias("line"))
+    span = truths.agg(F.format_string("%d flights burst from %.0f to %.0f m", F.count("*"), F.min("burst_alt_m"), F.max("burst_alt_m")).alias("line"))
+    return own.unionByName(span.select(F.lit(None).cast("string").alias("name"), "line"))
+
+
+def console_replay(bands: DataFrame, by: list[str], particles: int) -> DataFrame:
+    """A line for each parameter's band at the last update (by, s, param, q05, q50, q95,
+    ess), with a warning where too few particles carry the weight: by, param, line."""
+    last = bands.groupBy(*by, "param").agg(F.max_by(F.struct("q05", "q50", "q95", "ess"), "s").alias("b"))
+    thin = F.when(degenerate(F.col("b.ess"), F.lit(float(particles))), F.format_string(", from %.0f of %d particles only", "b.ess", F.lit(particles))).otherwise("")
+    return last.select(*by, "param", F.concat(F.format_string("%-16s %.4f, 5 to 95 %% from %.4f to %.4f", "param", "b.q50", "b.q05", "b.q95"), thin).alias("line"))
+
+
 def _feature(geometry, **properties):
     return F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[v.alias(k) for k, v in properties.items()]).alias("properties"))
 

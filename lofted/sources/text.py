@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import atmos
 from ..functions.constants import CELSIUS_ZERO_K
 from ..functions.geo import knots, wind_components
-from ..operators.quality import DROPOUT, FROM_PRESSURE, INVERTED, set_flag
+from ..operators.quality import DROPOUT, FROM_PRESSURE, INVERTED, mission_rules, set_flag, settings_rules
 from ..operators.ranges import previous, running
 from ..operators.series import anomalies
 
@@ -258,6 +258,29 @@ def parse_balloons(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("*", raw("name").alias("name"), F.upper(F.trim(raw("gas"))).alias("gas"), *[raw(f).try_cast("double").alias(f) for f in BALLOON_NUMBERS], error.alias("error"))
 
 
+#: Fields that a mission must have, of text and of numbers.
+MISSION_TEXT, MISSION_NUMBERS = ("name", "launch_epoch_utc"), ("launch_lat", "launch_lon", "launch_alt_m")
+
+
+def parse_missions(documents: DataFrame, text: str = "text") -> DataFrame:
+    """`documents` with the fields of a mission's JSON, launch_epoch (a timestamp),
+    ground_elev_m (the launch's altitude where it is not given), the settings under
+    `sim` and `error`: null, or what is wrong with the first bad field, by name."""
+    raw = lambda f: F.get_json_object(text, f"$.{f}")
+    quoted = lambda f: F.col(text).rlike(f'"{f}"\\s*:\\s*"')
+    number = lambda f: F.when(~quoted(f), raw(f).try_cast("double"))
+    own = documents.select("*", raw("name").alias("name"), *[number(f).alias(f) for f in MISSION_NUMBERS], F.coalesce(number("ground_elev_m"), number("launch_alt_m")).alias("ground_elev_m"), instant(raw("launch_epoch_utc")).alias("launch_epoch"))
+    own = parse_settings(own, text)
+    error = F.when(F.get_json_object(text, "$").isNull(), "not valid JSON")
+    for f in MISSION_TEXT:
+        error = error.when(F.coalesce(F.trim(raw(f)), F.lit("")) == "", f"{f} is required")
+    for f in MISSION_NUMBERS:
+        error = error.when(raw(f).isNull(), f"{f} is required").when(number(f).isNull(), f"{f} must be a number")
+    for f, ok in (mission_rules() | settings_rules()).items():
+        error = error.when(~F.coalesce(ok, F.lit(False)), f"{f} is out of range")
+    return own.withColumn("error", error)
+
+
 def parse_settings(documents: DataFrame, text: str = "text") -> DataFrame:
     """`documents` with the settings under `sim`, defaults for those it does not name."""
     kind = {str: "string", float: "double", int: "int"}

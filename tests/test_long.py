@@ -96,6 +96,25 @@ def test_previous_looks_over_blocks(spark):
     assert got == want
 
 
+def test_running_sums_where_one_value_fills_ranges(spark):
+    own = random.Random(12)
+    rows = [(g, own.choice([1.0, 1.0, 1.0, 2.0, 5.0]), n, own.randint(0, 9)) for n, g in enumerate(["a"] * 900 + ["b"] * 40 + [None] * 60)]
+    df = spark.createDataFrame(rows, "g string, a double, b long, v long")
+    cuts = ranges.cut_tuples(df, ["a", "b"], 16)
+    assert cuts == sorted(cuts) and sum(len(c) == 2 and c[0] == 1.0 for c in cuts) >= 6
+    sizes = df.groupBy(ranges.range_of_tuple([F.col("a"), F.col("b")], cuts)).count().agg(F.max("count")).first()[0]
+    assert sizes <= 220
+    got = {(r.g, r.b): (r.c, r.c_before, r.c_total) for r in ranges.running(df, ["g"], ["a", "b"], {"c": F.col("v")}, 16).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own_rows = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3])
+        total, c = sum(r[3] for r in own_rows), 0
+        for r in own_rows:
+            want[g, r[2]] = (c + r[3], c, total)
+            c += r[3]
+    assert got == want
+
+
 def test_a_file_in_splits_reads_as_one(spark, tmp_path):
     own = random.Random(6)
     lines = ["# log", "", "Time,seq,latitude,lon,alt,pressure"]
@@ -263,5 +282,16 @@ def test_null_groups_stay(spark):
     assert ellipse.containment(df, ellipse.fit(df, ["g"]), ["g"]).first().contained == 1.0
 
 
+def test_noise_and_dropouts_of_a_long_log(spark):
+    own = spark.range(6000).select(F.lit("f").alias("flight"), F.col("id").cast("double").alias("s"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon"), F.lit(1000.0).alias("alt_m"), F.lit(9e4).alias("pressure_pa"), F.lit(250.0).alias("temperature_k"))
+    one = sample.noisy(own, ["flight"], ["s"], 3)
+    assert one.exceptAll(sample.noisy(own.repartition(5), ["flight"], ["s"], 3, block=700)).isEmpty() and one.columns == own.columns
+    r = one.agg(F.stddev("alt_m"), F.avg("alt_m"), F.count_if(F.col("alt_m").isNull()), F.stddev("temperature_k"), F.stddev("lat"), F.stddev("pressure_pa")).first()
+    assert abs(r[0] - 10) < 0.5 and abs(r[1] - 1000) < 0.6 and 30 <= r[2] <= 120 and abs(r[3] - 1) < 0.05 and abs(r[4] * 111_195 / 8 - 1) < 0.05 and abs(r[5] / 180 - 1) < 0.05
+    runs = spark.createDataFrame([(k, k in (4, 5, 20)) for k in range(30)], "k long, b boolean")
+    got = [x.k for x in sample.dropout_runs(runs, [], ["k"], F.col("b"), 3, block=6).where("dropped").collect()]
+    assert sorted(got) == [4, 5, 6, 7, 20, 21, 22]
+
+
 def test_uniform_noise_is_of_the_keys(spark):
     assert spark.range(50).select(sample.uniform(1, F.col("id")).alias("u")).where("u > 0 and u < 1").count() == 50
