@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lofted import cli
 
 MISSION = {"name": "one", "launch_lat": 23.26, "launch_lon": 77.41, "launch_alt_m": 500.0, "launch_epoch_utc": "2026-09-14T04:30:00Z", "sim": {"step_s": 0.5}}
-BALLOON = {"name": "b", "gas": "HELIUM", "payload_mass_kg": 1.2, "envelope_mass_kg": 1.2, "launch_diameter_m": 1.8, "burst_diameter_m": 3.0, "free_lift_kg": 1.1, "ascent_cd": 0.45, "chute_area_m2": 1.0, "chute_cd": 1.4}
+BALLOON = {"name": "b", "gas": "HELIUM", "payload_mass_kg": 1.2, "envelope_mass_kg": 1.2, "launch_diameter_m": 1.8, "burst_diameter_m": 4.0, "free_lift_kg": 1.1, "ascent_cd": 0.45, "chute_area_m2": 1.0, "chute_cd": 1.4}
 
 
 @pytest.fixture
@@ -46,7 +46,7 @@ def test_ingest_and_its_errors(spark, files, capsys):
 
 
 def test_predict(spark, files, capsys):
-    own = ["--mission", str(files / "m.json"), "--balloon", str(files / "b.json"), "--step", "1.0", "--out", str(files / "p")]
+    own = ["--mission", str(files / "m.json"), "--balloon", str(files / "b.json"), "--step", "0.5", "--out", str(files / "p")]
     assert cli.main(["predict", *own, "--members", "12", "--sounding", str(files / "s.txt")], spark) == 0
     members = spark.read.parquet(str(files / "p" / "members"))
     assert members.count() == 12 and members.where("status = 'OK'").agg(F.max("lat")).first()[0] is not None
