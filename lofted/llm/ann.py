@@ -16,6 +16,8 @@ from .common import Scratch
 BOOKS, WORDS, BEAMS, SAMPLE = 8, 256, 4, 8192
 #: Index rows in a block, queries in a group, candidates of a block that are reranked first.
 BLOCK_ROWS, GROUP_QUERIES, RERANK = 8192, 2048, 160
+#: Deviations of its likely error that a row may lie below the k-th best and still be scored exactly.
+LIKELY = 2.5
 
 
 @dataclass(frozen=True)
@@ -97,8 +99,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
     Codebooks are fitted on the `sample` rows of least hash; every row is
     encoded and scored.  Groups of queries meet blocks of rows: within a block
     the `rerank` best by lookup tables are scored exactly in double precision,
-    then every other row that its stored error does not keep below the k-th best
-    of them; the best k of all blocks stay, ties to the smaller vec_id.  A row is no
+    then every other row that may reach the k-th best of them by LIKELY deviations
+    of its error: what the codes leave of a row points anywhere, so its product
+    with a query deviates by the stored norm of that rest over the root of the
+    dimensions, a part of what the norms alone would allow.  The best k of all
+    blocks stay, ties to the smaller vec_id.  Other columns are not read.  A row is no
     candidate of a query of its own vec_id.  Queries repeated under one vec_id
     count once, by the least vector; repeated candidates count each.  Rows that
     take no part are named at `usable`; an empty table gives no rows.
@@ -120,10 +125,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
             i, v = i[order], v[order]
             parts = [books.value.encode(v[a : a + 1024]) for a in range(0, len(v), 1024)]
             codes = np.concatenate([c for c, _ in parts])
-            errors = np.concatenate([np.linalg.norm(v[a : a + 1024] - books.value.decode(codes[a : a + 1024]), axis=1) for a in range(0, len(v), 1024)])
-            cells = i.tobytes(), codes.tobytes(), errors.astype("<f8").tobytes(), v.tobytes()
+            # the norm of what the codes leave, from those of the row and of the sum of its codewords
+            norms, sums = (v * v).sum(1), np.concatenate([n for _, n in parts])
+            inner = np.concatenate([(v[a : a + 1024] * books.value.decode(codes[a : a + 1024])).sum(1) for a in range(0, len(v), 1024)])
+            errors = np.sqrt(np.maximum(norms - 2 * inner + sums, 0.0))
+            cells = i.tobytes(), codes.tobytes(), np.sqrt(norms).astype("<f8").tobytes(), errors.astype("<f8").tobytes(), v.tobytes()
             ids.clear(), vecs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["ids", "codes", "errors", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["ids", "codes", "norms", "errors", "vectors"])
 
         for b in batches:
             if b.num_rows:
@@ -136,7 +144,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
         if n:
             yield block()
 
-    blocks = scratch.save(rows.mapInArrow(index, "ids binary, codes binary, errors binary, vectors binary"), "index")
+    blocks = scratch.save(rows.mapInArrow(index, "ids binary, codes binary, norms binary, errors binary, vectors binary"), "index")
     queries = scratch.save(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     groups = max(1, -(-queries.count() // GROUP_QUERIES))
     dealt = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
@@ -146,13 +154,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, codes, errors, vecs = (np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("ids", "<i8"), ("codes", "u1"), ("errors", "<f8"), ("vectors", "<f8")))
+                ids, codes, norms, errors, vecs = (np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("ids", "<i8"), ("codes", "u1"), ("norms", "<f8"), ("errors", "<f8"), ("vectors", "<f8")))
                 codes, vecs = np.ascontiguousarray(codes.reshape(len(ids), -1).T), vecs.reshape(len(ids), -1)
                 query_ids = b.column("query_ids")[r].values.to_numpy(zero_copy_only=False)
                 asked_all = b.column("asked")[r].values.to_numpy(zero_copy_only=False).reshape(len(query_ids), -1)
                 out: list[list[np.ndarray]] = [[], [], []]
                 for at in range(0, len(query_ids), 256):
-                    near = _near(books.value, query_ids[at : at + 256], asked_all[at : at + 256], ids, codes, errors, vecs, k, rerank)
+                    near = _near(books.value, query_ids[at : at + 256], asked_all[at : at + 256], ids, codes, norms, errors, vecs, k, rerank)
                     for x, y in zip(out, near):
                         x += y
                 cells = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
@@ -163,7 +171,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _near(books: Codebooks, query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, codes: np.ndarray, errors: np.ndarray, vecs: np.ndarray, k: int, rerank: int) -> list[list[np.ndarray]]:
+def _near(books: Codebooks, query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, errors: np.ndarray, vecs: np.ndarray, k: int, rerank: int) -> list[list[np.ndarray]]:
     """Query ids, row ids and exact scores of each query's best k rows of a block (rows by id)."""
     tables = books.tables(asked)
     rough = np.zeros((len(asked), len(ids)), np.float32)
@@ -174,13 +182,16 @@ def _near(books: Codebooks, query_ids: np.ndarray, asked: np.ndarray, ids: np.nd
     # what single precision adds to an error, and double precision to a score, for a query of length 1
     terms = vecs.shape[1] + 2 * len(codes)
     single = terms * 2.0**-22 * np.linalg.norm(books.books, axis=2).max(axis=1).sum()
-    double = terms * 2.0**-50 * np.linalg.norm(vecs, axis=1).max()
+    double = terms * 2.0**-50 * norms.max()
+    likely = errors * min(1.0, LIKELY / np.sqrt(vecs.shape[1]))
     out: list[list[np.ndarray]] = [[], [], []]
     for row, query_id, vec, own in zip(rough, query_ids, asked, first):
         length = np.linalg.norm(vec)
         least = _least(vecs[own[ids[own] != query_id]] @ vec, k) - double * length
-        # the k-th best of the first is no better than that of all; a row that cannot reach it stays out
-        own = np.flatnonzero(~(row + (errors + single) * length < least) & (ids != query_id))
+        # the k-th best of the first is no better than that of all; a row that is not likely to reach it stays out
+        may = ~(row + (likely + single) * length < least)
+        may[own] = True
+        own = np.flatnonzero(may & (ids != query_id))
         near = vecs[own] @ vec
         own = own[~(near < _least(near, k) - double * length)]
         exact = (vecs[own] * vec).sum(1)
