@@ -58,19 +58,19 @@ def lookup(df: DataFrame, at: Column, nodes: DataFrame, x: str, ys: list[str], b
 
 
 def _sent(df: DataFrame, at: Column, nodes: list, ys: list[str]) -> DataFrame:
-    """`lookup` in nodes that the plan holds."""
-    place, xs = at.cast("double"), [r.x for r in nodes]
-    count = range_of(place, xs)  # nodes at the place or under it
-    pick = lambda values, k: F.get(F.array(*[F.lit(v).cast("double") for v in values]), k) if values else F.lit(None).cast("double")
-    low, high = pick(xs, count - 1), pick(xs, count)
-    share = (place - low) / (high - low)
-    out = []
-    for y in ys:
-        values = [r[y] for r in nodes]
-        y0, y1 = pick(values, count - 1), pick(values, count)
-        out.append(F.when(place.isNotNull(), F.coalesce(y0 + share * (y1 - y0), y0, y1)).alias(y))
-    outside = low.isNull() | (high.isNull() & (place != low))
-    return df.select("*", *out, (F.when(place.isNotNull(), outside) if xs else F.lit(None).cast("boolean")).alias("extrapolated"))
+    """`lookup` in nodes that the plan holds: a place's rank among them picks the two beside it."""
+    if not nodes:
+        return df.select("*", *[F.lit(None).cast("double").alias(y) for y in ys], F.lit(None).cast("boolean").alias("extrapolated"))
+    number = lambda v: "cast(null as double)" if v is None else f"double('{v!r}')"
+    held = {c: F.expr(f"array({', '.join(number(r[c]) for r in nodes)})") for c in ("x", *ys)}  # one text, not a call for each node
+    own = df.withColumn("__place", at.cast("double")).withColumn("__rank", range_of(F.col("__place"), [r.x for r in nodes]))
+    own = own.withColumns({f"__{side}_{i}": F.get(held[c], F.col("__rank") - back) for i, c in enumerate(("x", *ys)) for side, back in (("low", 1), ("high", 0))})
+    share = (F.col("__place") - F.col("__low_0")) / (F.col("__high_0") - F.col("__low_0"))
+    known = F.col("__place").isNotNull()
+    between = lambda i: F.coalesce(F.col(f"__low_{i}") + share * (F.col(f"__high_{i}") - F.col(f"__low_{i}")), F.col(f"__low_{i}"), F.col(f"__high_{i}"))
+    out = [F.when(known, between(i)).alias(y) for i, y in enumerate(ys, 1)]
+    outside = F.col("__low_0").isNull() | (F.col("__high_0").isNull() & (F.col("__place") != F.col("__low_0")))
+    return own.select(*df.columns, *out, F.when(known, outside).alias("extrapolated"))
 
 
 def nearest(df: DataFrame, by: list[str], at: Column, target: Column, value: str) -> DataFrame:

@@ -146,11 +146,13 @@ def parse_telemetry(text: DataFrame, block: int = BLOCK_LINES) -> tuple[DataFram
     first = F.row_number().over(Window.partitionBy("file", "packet_id").orderBy("line"))
     valid = judged.where("reason is null").withColumn("n", first)
     kept = valid.where("n = 1").drop("n", "headless", "wide", "reason", "junk")
-    derived = atmos.pressure_altitude(F.col("pressure_pa"))
+    # worked out once, and only where it is needed
+    kept = kept.withColumn("__derived", F.when(F.col("alt_gps_m").isNull(), atmos.pressure_altitude(F.col("pressure_pa"))))
+    derived = F.col("__derived")
     arrived = previous(kept, ["file"], "line", "epoch_utc", block, "__before")
     flags = set_flag(F.lit(0), INVERTED, F.col("epoch_utc") < F.col("__before"))
     flags = set_flag(set_flag(flags, DROPOUT, F.col("alt_gps_m").isNull()), FROM_PRESSURE, F.col("alt_gps_m").isNull() & derived.isNotNull())
-    samples = arrived.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived)).drop("text", "__before")
+    samples = arrived.withColumn("flags", flags).withColumn("alt_m", F.coalesce("alt_gps_m", derived)).drop("text", "__before", "__derived")
     # a pressure outside the model is reported, its sample stays without an altitude
     outside = kept.where(F.col("alt_gps_m").isNull() & F.col("pressure_pa").isNotNull() & derived.isNull()).select("file", "line", F.lit("pressure_pa is outside the model").alias("reason"), "text")
     rejects = judged.where("reason is not null").select("file", "line", "reason", "text").unionByName(valid.where("n > 1").select("file", "line", F.lit("duplicate packet_id").alias("reason"), "text")).unionByName(outside)
