@@ -141,10 +141,11 @@ def point_feature(name: Column, lon: Column, lat: Column, alt: Column) -> Column
     return F.format_string('{"type":"Feature","properties":{"name":"%s"},"geometry":{"type":"Point","coordinates":[%.7f,%.7f,%.1f]}}', name, lon, lat, alt)
 
 
-def footprint_features(ellipses: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+def footprint_features(ellipses: DataFrame, members: DataFrame, by: list[str], running_on: bool = False) -> DataFrame:
     """by and one GeoJSON feature a row (kind: ellipse, centre or member): rings of
-    ellipses, their centres, and the landings of members; failed members have none."""
-    corner = F.transform(ring(), lambda p: F.format_string("[%.7f,%.7f]", p["lon"], p["lat"]))
+    ellipses, their centres, and the landings of members; failed members have none.
+    With `running_on` the longitudes of rings are not turned into [-180, 180)."""
+    corner = F.transform(ring(running_on=running_on), lambda p: F.format_string("[%.7f,%.7f]", p["lon"], p["lat"]))
     name = F.format_string("%.0f%%", F.col("confidence") * 100)
     polygon = F.format_string('{"type":"Feature","properties":{"name":"%s ellipse"},"geometry":{"type":"Polygon","coordinates":[[%s]]}}', name, F.concat_ws(",", corner))
     centre = point_feature(F.concat(F.lit("centre "), name), F.col("centre_lon"), F.col("centre_lat"), F.lit(0.0))

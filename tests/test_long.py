@@ -3,13 +3,15 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lofted.functions import gauss, roots
-from lofted.operators import interp, jitter, ranges, sample, series, weights
-from lofted.plans import provenance
+from lofted.operators import ellipse, interp, jitter, ranges, sample, series, weights
+from lofted.plans import provenance, queries_reports
+from lofted.plans.queries import ORACLE_SQL
 from lofted.plans.sim import ConvergenceError
 from lofted.sources import text
 from lofted.streaming import burst
@@ -295,3 +297,18 @@ def test_noise_and_dropouts_of_a_long_log(spark):
 
 def test_uniform_noise_is_of_the_keys(spark):
     assert spark.range(50).select(sample.uniform(1, F.col("id")).alias("u")).where("u > 0 and u < 1").count() == 50
+
+
+def test_footprints_whose_longitudes_run_on_are_not_turned(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    # 40,000 customers reach 1,250 degrees; all members lie on one line
+    own = spark.createDataFrame([(i, int(c), 1000.5) for i, c in enumerate(rng.integers(0, 40_000, 3000))], "o_orderkey long, o_custkey long, o_totalprice double").withColumn("o_orderpriority", F.lit("x"))
+    own.write.parquet(str(tmp_path / "orders.parquet"))
+    rows = queries_reports.footprint_shapes(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = {r[:3]: r[3:] for r in db.sql(ORACLE_SQL["footprint_shapes"]).fetchall()}
+    assert {tuple(r[:3]) for r in rows} == set(want) and max(r.lon for r in rows if r.kind == "ellipse") > 180
+    # SQL's minor axis is rounding, up to some metres, and differs from run to run
+    assert all(r[3:] == pytest.approx(want[tuple(r[:3])], abs=3e-4) for r in rows)
+    assert ellipse.fit(own.select(F.lit(1).alias("g"), (F.col("o_custkey") / 64).alias("lat"), (F.col("o_custkey") / 32).alias("lon")), ["g"], running_on=True).first().semi_minor_m == 0.01
