@@ -8,13 +8,15 @@ handed out as rejects and touch nothing else.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows that wait in one entry of state.
+TOGETHER = 10_000
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,64 +47,75 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, id long, seq long", self.row)
-        self.mark = handle.getValueState("mark", "seq long, timer long, last_us long")
-        self.kept = handle.getValueState("kept", self.own)
+        # one entry holds the rows of a call as lists, in order of arrival
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c.rsplit(' ', 1)[0]} array<{c.rsplit(' ', 1)[1]}>" for c in ("us long", "id long", *self.row.split(", "))))
+        self.kept = handle.getValueState("kept", f"timer_ms long, last_us long, first_us long, {self.own}")
         self.width = len(self.row.split(","))
         self.names = [c.split()[0] for c in self.out.split(", ")]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed, late = timerValues.getCurrentWatermarkInMs() * 1000, []
-        seq, timer, last = self.mark.get() if self.mark.exists() else (0, -1, -1)
-        for frame in rows:
-            columns = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in frame.columns[-2 - self.width :]]
-            for us, id_, *row in zip(*columns, strict=True):
-                if us is None or us < passed:
-                    late.append((us, id_, row[0]))
-                    continue
-                self.waiting.updateValue((int(us), -(2**62) if id_ is None else int(id_), seq), tuple(row))
-                seq += 1
-        self.mark.update((seq, timer, last))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed, late, fresh = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        timer, last, first, *state = self.kept.get() or (-1, -1, -1, *self.begin())
+        for us, id_, *row in (r[-2 - self.width :] for r in rows):
+            if us is None or us < passed:
+                late.append((True, us, id_, row[0]))
+                continue
+            fresh.append((us, -(2**62) if id_ is None else id_, *row))
+            if len(fresh) == TOGETHER:
+                first = self._put_by(fresh, first)
+                fresh = []
         if late:
-            yield self._frame(key, [(True, us, id_, s, *[None] * len(self.names)) for us, id_, s in late])
-        yield from self._release(key, passed)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, _, last = self.mark.get()
-        self.mark.update((seq, -1, last))
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _release(self, key: tuple, passed: int) -> Iterator[pd.DataFrame]:
+            yield from self._rows(key, late)
+        if fresh:
+            first = self._put_by(fresh, first)
+        yield from self._release(key, passed, timer, last, first, state)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, last, first, *state = self.kept.get()
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000, -1, last, first, state)
+
+    def _put_by(self, rows: list[tuple], first: int) -> int:
+        """Adds rows to those that wait; the earliest time among them all."""
+        self.waiting.appendValue(tuple(map(list, zip(*rows, strict=True))))
+        own = min(r[0] for r in rows)
+        return own if first < 0 else min(first, own)
+
+    def _release(self, key: tuple, passed: int, timer: int, last: int, first: int, state: list) -> Iterator[Row]:
         """Steps over all that the watermark has passed and sets the timer for what has to wait."""
-        at = sorted(k for k in self.waiting.keys())
-        ready = [k for k in at if k[0] < passed]
-        seq, timer, last = self.mark.get()
-        state, made = self.kept.get() if self.kept.exists() else self.begin(), []
-        for k in ready:
-            state, found = self.step(key, tuple(state), k[0], tuple(self.waiting.getValue(k)))
-            made += [(False, k[0], k[1], None, *x) for x in found]
-            self.waiting.removeKey(k)
-            last = k[0]
+        own, made = tuple(state), []
+        if 0 <= first < passed:
+            # equal times and ids stay in order of arrival
+            at = sorted((r for some in self.waiting.get() for r in zip(*some, strict=True)), key=lambda r: r[:2])
+            cut = bisect_left(at, passed, key=lambda r: r[0])
+            for us, id_, *row in at[:cut]:
+                own, found = self.step(key, own, us, tuple(row))
+                made += [(False, us, id_, None, *x) for x in found]
+                last = us
+            if rest := at[cut:]:
+                first = rest[0][0]
+                self.waiting.put([tuple(map(list, zip(*rest[k : k + TOGETHER], strict=True))) for k in range(0, len(rest), TOGETHER)])
+            else:
+                first = -1
+                self.waiting.clear()
         due = last + self.idle_us if self.idle_us is not None and last >= 0 else None
-        if due is not None and due < passed and len(ready) == len(at):
-            state, found = self.idle(key, tuple(state))
+        if due is not None and due < passed and first < 0:
+            own, found = self.idle(key, own)
             made += [(False, last, None, None, *x) for x in found]
             last, due = -1, None
-        self.kept.update(tuple(state))
-        wanted = min([k[0] for k in at[len(ready) : len(ready) + 1]] + ([due] if due is not None else []), default=None)
+        wanted = min([t for t in (first, due) if t is not None and t >= 0], default=None)
         wanted = -1 if wanted is None else wanted // 1000 + 1
         if wanted != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             if wanted >= 0:
                 self.handle.registerTimer(wanted)
-        self.mark.update((seq, wanted, last))
-        if made:
-            yield self._frame(key, made)
+        self.kept.update((wanted, last, first, *own))
+        yield from self._rows(key, made)
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        own = [f"_key{i}" for i in range(len(key))]
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*own, "late", "us", "id", "late_s", *self.names]).astype({"us": "Int64", "id": "Int64"})
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
+        made = Row(*[f"_key{i}" for i in range(len(key))], "late", "us", "id", "late_s", *self.names)
+        for r in rows:
+            yield made(*key, *r, *[None] * (4 + len(self.names) - len(r)))
 
     def close(self) -> None:
         pass
@@ -120,7 +133,7 @@ def processed(stream: DataFrame, by: list[str], at: str, id_col: str, row: dict[
     # a plain number keeps late rows: Spark drops those whose column carries the watermark
     timed = stream.withWatermark(at, delay).select(*by, F.unix_micros(F.col(at)).alias("us"), F.col(id_col).cast("long").alias("id"), *[c.alias(n) for n, c in row.items()])
     schema = ", ".join([f"_key{i} {kinds[c]}" for i, c in enumerate(by)] + ["late boolean, us long, id long, late_s double", processor.out])
-    made = timed.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    made = timed.groupBy(*by).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return made.withColumnsRenamed({f"_key{i}": c for i, c in enumerate(by)})
 
 

@@ -95,3 +95,76 @@ def test_due_updates_of_a_stream_equal_those_of_the_log(spark, tmp_path, seed):
     want = replay.due_updates(log, ["flight"], 50.0, 100.0).select("flight", "fired_s")
     assert sorted(map(tuple, due.fired(made, ["flight"]).collect())) == sorted(map(tuple, want.collect()))
     assert made.where("late").count() == 0
+
+
+def test_state_is_touched_a_few_times_a_call_whatever_the_rows():
+    class Kept:
+        def __init__(self, calls):
+            self.calls, self.held = calls, []
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.held)
+
+        def appendValue(self, value):
+            self.calls.append("append")
+            self.held.append(value)
+
+        def put(self, values):
+            self.calls.append("put")
+            self.held = list(values)
+
+        def clear(self):
+            self.calls.append("clear")
+            self.held = []
+
+    class One(Kept):
+        def get(self):
+            self.calls.append("get")
+            return self.held or None
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def getListState(self, name, schema):
+            return Kept(self.calls)
+
+        def getValueState(self, name, schema):
+            return One(self.calls)
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+
+        def deleteTimer(self, at):
+            self.calls.append("timer")
+
+    class Passed:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    class Seen(ordered.InOrder):
+        row, own, out = "s double", "n long", "place long, s double"
+
+        def begin(self):
+            return (0,)
+
+        def step(self, key, state, us, row):
+            return (state[0] + 1,), [(state[0] + 1, row[0])]
+
+    handle, seen = Handle(), Seen()
+    seen.init(handle)
+    # the same time and id come in order of arrival, without an id first
+    rows = [("a", us * 1_000_000, id_, float(n)) for n, (us, id_) in enumerate([(9, 1), (3, 5), (3, 5), (3, None), *[(k, k) for k in range(4, 2000)]])]
+    assert list(seen.handleInputRows(("a",), iter(rows), Passed(0))) == [] and len(handle.calls) < 8
+    out = list(seen.handleInputRows(("a",), iter([("a", 0, 1, 0.5)]), Passed(5000)))
+    assert [(r.late, r.place, r.s, r.late_s) for r in out] == [(True, None, None, 0.5), (False, 1, 3.0, None), (False, 2, 1.0, None), (False, 3, 2.0, None), (False, 4, 4.0, None)]
+    out = list(seen.handleExpiredTimer(("a",), Passed(3_000_000), None))
+    assert len(out) == 1996 and out[-1].place == 2000 and len(handle.calls) < 20
