@@ -75,20 +75,27 @@ def noisy_samples(spark, sf):
 # ---- streams
 
 
+#: Rows in one file of a stream that is made up.
+_FILE_ROWS = 1_000_000
+
+
 def _arriving(rows, at, arrival, batches: int, path: str):
-    """Writes `rows` to `path` in `batches` parts by order of arrival, one after the other,
-    and a last row long after all others, so that the watermark passes them."""
-    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
-    step = max((high - low) / batches, 1e-9)
-    own = rows.withColumn("__batch", F.least(F.floor((arrival - low) / step), F.lit(batches - 1)))
+    """A stream of `rows`: writes them to `path` in `batches` parts by order of arrival, one
+    after the other, and a last row long after all others, so that the watermark passes
+    them.  A part is as many files as its rows fill, which come in one batch."""
+    spark = rows.sparkSession
+    # worked out once, by as many tasks as there are
+    rows.withColumn("__arrival", arrival).write.parquet(f"{path}-all")
+    whole = spark.read.parquet(f"{path}-all")
+    low, high, count = whole.agg(F.min("__arrival"), F.max("__arrival"), F.count("*")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    step, files = max((high - low) / batches, 1e-9), -(-count // (batches * _FILE_ROWS)) or 1
+    own = whole.withColumn("__batch", F.least(F.floor((F.col("__arrival") - low) / step), F.lit(batches - 1)))
     for k in range(batches):
-        own.where(F.col("__batch") == k).drop("__batch").coalesce(1).write.parquet(f"{path}/{k:03d}")
-    last = rows.agg(F.max(at).alias("at")).select((F.col("at") + F.expr("interval 400 days")).alias("at"))
+        own.where(F.col("__batch") == k).drop("__batch", "__arrival").repartition(files).write.parquet(f"{path}/{k:03d}")
+    last = whole.agg(F.max(at).alias("at")).select((F.col("at") + F.expr("interval 400 days")).alias("at"))
     last.select(*[F.col("at").alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.parquet(f"{path}/{batches:03d}")
-
-
-def _streamed(spark, rows, path: str):
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 @query(ORACLE_SQL["burst_detect"])
@@ -96,9 +103,9 @@ def stream_burst(spark, sf):
     """The detector over a stream whose rows arrive out of order; same rows as `burst_detect`."""
     rows = _altitude(spark, sf).select("user_id", F.col("event_id").alias("id"), "s", F.col("alt").cast("double").alias("alt"), F.timestamp_seconds(F.col("s").cast("long")).alias("at"))
     where = shared_root(spark)
-    _arriving(rows, "at", F.col("s") + F.col("id") % 7, 3, f"{where}/in")
-    span = rows.agg(F.max("s")).first()[0] or 0
-    made = burst.detect_ordered(_streamed(spark, rows, f"{where}/in"), ["user_id"], "at", "id", "s", "alt", f"{int(span / 2) + 10} seconds")
+    stream = _arriving(rows, "at", F.col("s") + F.col("id") % 7, 3, f"{where}/in")
+    span = spark.read.parquet(f"{where}/in-all").agg(F.max("s")).first()[0] or 0
+    made = burst.detect_ordered(stream, ["user_id"], "at", "id", "s", "alt", f"{int(span / 2) + 10} seconds")
     return burst.bursts(ordered.run(made, where), ["user_id"])
 
 
@@ -107,8 +114,8 @@ def stream_due(spark, sf):
     """Throttled updates of a stream that arrives out of order; same rows as `repredict_times`."""
     rows = events(spark, sf).select("user_id", F.col("event_id").alias("id"), "s", F.col("value").alias("alt"), (F.col("event_id") % 97 == 0).alias("burst"), F.col("ts").cast("timestamp").alias("at"))
     where = shared_root(spark)
-    _arriving(rows, "at", F.col("s") + F.col("id") * 7919 % 86_400, 3, f"{where}/in")
-    made = due.due_updates(_streamed(spark, rows, f"{where}/in"), ["user_id"], "at", "id", "s", "alt", "burst", 250_000.0, 5.0, 100 * 86_400.0, "60 days")
+    stream = _arriving(rows, "at", F.col("s") + F.col("id") * 7919 % 86_400, 3, f"{where}/in")
+    made = due.due_updates(stream, ["user_id"], "at", "id", "s", "alt", "burst", 250_000.0, 5.0, 100 * 86_400.0, "60 days")
     return due.fired(ordered.run(made, where), ["user_id"])
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from operator import mul
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,10 @@ def check_settings(rows: int, rise: float, fall: float, times: int) -> None:
 
 def slope_of(s: list[float], alts: list[float]) -> float:
     """Least-squares slope of altitudes; 0 where time does not vary."""
-    t = np.array(s) - np.mean(s)
-    spread = float((t * t).sum())
-    return float((t * np.array(alts)).sum()) / spread if spread else 0.0
+    mean = sum(s) / len(s)
+    t = [x - mean for x in s]
+    spread = sum(map(mul, t, t))
+    return sum(map(mul, t, alts)) / spread if spread else 0.0
 
 
 def current_rate(state: tuple) -> float | None:
@@ -46,7 +48,7 @@ def advance(state: tuple, at: float | None, alt: float | None) -> tuple[tuple, t
     """The detector's next state after a sample, and (detected_s, peak_s, peak) if it
     confirms a burst.  Samples without time or altitude change nothing."""
     s, alts, risen, run, fired = state
-    if fired or at is None or alt is None or np.isnan(at) or np.isnan(alt):
+    if fired or at is None or alt is None or math.isnan(at) or math.isnan(alt):
         return state, None
     s, alts = [*s, float(at)][-ROWS:], [*alts, float(alt)][-ROWS:]
     if len(s) < ROWS:
@@ -56,7 +58,7 @@ def advance(state: tuple, at: float | None, alt: float | None) -> tuple[tuple, t
     run = run + 1 if risen and slope < FALL else 0
     if run < TIMES:
         return (s, alts, risen, run, fired), None
-    top = int(np.argmax(alts))
+    top = alts.index(max(alts))
     return (s, alts, risen, run, True), (float(at), s[top], alts[top])
 
 
