@@ -81,7 +81,9 @@ def is_junk(c: Column) -> Column:
 def instant(c: Column) -> Column:
     """An ISO-8601 instant; one without a zone is UTC."""
     own = F.trim(c)
-    return F.when(own.rlike(r"^\d{4}-\d\d-\d\dT"), F.coalesce(F.try_to_timestamp(F.concat(own, F.lit("Z"))), F.try_to_timestamp(own)))
+    # nothing that ends in two Z is a time; to try it would cost an exception a row
+    zoned = F.when(~own.endswith("Z"), F.try_to_timestamp(F.concat(own, F.lit("Z"))))
+    return F.when(own.rlike(r"^\d{4}-\d\d-\d\dT"), F.coalesce(zoned, F.try_to_timestamp(own)))
 
 
 #: Lines of a file that one task compares with the lines before them.
@@ -122,12 +124,15 @@ def parse_telemetry(text: DataFrame, block: int = BLOCK_LINES) -> tuple[DataFram
     are compared by id, arrival in blocks of `block` lines.  All lines of a file
     without a usable header are rejects."""
     body = text.select("file", "line", "text").where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
-    split = body.withColumn("cells", F.transform(F.split("text", ","), lambda c: F.trim(c)))
-    heads = split.groupBy("file").agg(F.min_by(F.transform("cells", lambda c: F.lower(c)), "line").alias("head"), F.min("line").alias("head_line"))
+    cells = F.transform(F.split("text", ","), lambda c: F.trim(c))
+    # a header is cut into cells where it has been found, lines where their header is known
+    first_line = body.groupBy("file").agg(F.min_by("text", "line").alias("text"), F.min("line").alias("head_line"))
+    heads = first_line.select("file", "head_line", F.transform(cells, lambda c: F.lower(c)).alias("head"))
     known = heads.select("file", "head_line", *[F.array_max(F.array(*[F.array_position("head", a) for a in names])).cast("int").alias(f"at_{k}") for k, names in ALIASES.items()])
     headless = " or ".join(f"at_{k} = 0" for k in REQUIRED)
     cell = lambda k: F.when(F.col(f"at_{k}") > 0, F.try_element_at("cells", F.col(f"at_{k}")))
-    rows = split.join(known, "file").where(f"line > head_line or {headless}")
+    # a row a file: sent to the lines, as a shuffle by file would bring a long log to one task
+    rows = body.join(F.broadcast(known), "file").where(f"line > head_line or {headless}").withColumn("cells", cells)
     width = F.greatest(*[F.col(f"at_{k}") for k in ALIASES])
     optional = ("alt_gps_m", "pressure_pa", "temperature_k")
     junk = F.concat_ws(", ", *[F.when(is_junk(cell(k)), F.lit(k)) for k in optional])

@@ -312,3 +312,12 @@ def test_footprints_whose_longitudes_run_on_are_not_turned(spark, tmp_path):
     # SQL's minor axis is rounding, up to some metres, and differs from run to run
     assert all(r[3:] == pytest.approx(want[tuple(r[:3])], abs=3e-4) for r in rows)
     assert ellipse.fit(own.select(F.lit(1).alias("g"), (F.col("o_custkey") / 64).alias("lat"), (F.col("o_custkey") / 32).alias("lon")), ["g"], running_on=True).first().semi_minor_m == 0.01
+
+
+def test_lines_of_one_log_are_judged_by_many_tasks(spark):
+    rows = spark.range(2, 2002, 1, 8).select(F.lit("one").alias("file"), F.col("id").alias("line"), F.concat(F.lit("2026-09-14T04:30:00Z,"), F.col("id").cast("string"), F.lit(",1,2,nan")).alias("text"))
+    head = spark.createDataFrame([("one", 1, "time,seq,lat,lon,alt")], "file string, line long, text string")
+    bad = spark.createDataFrame([("one", 3000, "2026-09-14T04:30:00ZZ,1,1,2,3")], "file string, line long, text string")
+    samples, rejects = text.parse_telemetry(rows.unionByName(head).unionByName(bad))
+    assert samples.count() == 2000 and [r.reason for r in rejects.collect()] == ["epoch_utc is no instant"]
+    assert rejects.where("reason = 'epoch_utc is no instant'").rdd.getNumPartitions() > 1
