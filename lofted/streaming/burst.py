@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,11 +30,19 @@ def check_settings(rows: int, rise: float, fall: float, times: int) -> None:
 
 
 def slope_of(s: list[float], alts: list[float]) -> float:
-    """Least-squares slope of altitudes; 0 where time does not vary."""
-    mean = sum(s) / len(s)
-    t = [x - mean for x in s]
-    spread = sum(map(mul, t, t))
-    return sum(map(mul, t, alts)) / spread if spread else 0.0
+    """Least-squares slope of altitudes; 0 where time does not vary.
+
+    Means and moments are carried from sample to sample as `regr_slope` does it, so
+    that a slope at a threshold is rounded to the side that `series.detect_burst` sees."""
+    mean_s = mean_alt = both = spread = 0.0
+    for n, (x, y) in enumerate(zip(s, alts, strict=True), 1):
+        ds = x - mean_s
+        step = ds / n
+        mean_s += step
+        mean_alt += (y - mean_alt) / n
+        both += ds * (y - mean_alt)
+        spread += ds * (ds - step)
+    return both / spread if spread else 0.0
 
 
 def current_rate(state: tuple) -> float | None:

@@ -1,12 +1,13 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lofted.operators import series
-from lofted.plans import replay
+from lofted.plans import queries, queries_series, replay
 from lofted.streaming import burst, due, ordered
 
 KIND = "flight string, id long, s double, alt_m double, burst boolean, at timestamp"
@@ -60,6 +61,33 @@ def test_unordered_batches_give_the_rows_of_a_batch(spark, tmp_path):
     assert want.count() == 2 and burst.rejects(made, ["flight"]).count() == 0
 
 
+def test_slopes_at_the_threshold_fall_to_the_side_of_the_batch(spark, tmp_path):
+    # a height that turns at row n / 2, with what event_id % 3 adds chosen so that one slope is -2 but for rounding
+    rng, rows, event = random.Random(1), [], 0
+    for user in range(60):
+        n = 2 * rng.randint(6, 40)
+        for r in range(1, n + 1):
+            added = 2 if -3 <= r - n // 2 <= 0 else 0 if 2 <= r - n // 2 <= 5 else rng.randrange(3)
+            event += 1 + (added - event - 1) % 3
+            rows.append((event, at(float(r)), user, 0.0))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(queries.ORACLE_SQL["burst_detect"]).fetchall())
+    assert sorted(map(tuple, queries.burst_detect(spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, queries_series.stream_burst(spark, str(tmp_path)).collect())) == want
+
+
+def test_slope_of_the_stream_is_that_of_the_batch_to_the_bit(spark):
+    rng = random.Random(4)
+    rows = [(k, float(s), alt) for k in range(20) for s, alt in enumerate([rng.choice((rng.uniform(-9e4, 9e4), float(rng.randrange(40)))) for _ in range(60)], 7 * k)]
+    df = spark.createDataFrame(rows, "k long, s double, alt double")
+    for r in series.rolling_slope(df, ["k"], ["s"], "alt", "s").where("slope is not null").collect():
+        own = [x for x in rows if x[0] == r.k and r.s - 8 <= x[1] <= r.s]
+        assert burst.slope_of([x[1] for x in own], [x[2] for x in own]) == r.slope
+    assert burst.slope_of([3.0] * 9, [float(k) for k in range(9)]) == 0.0
+
+
 def test_arrival_0_3_1_2_and_late_rows_are_rejects(spark, tmp_path):
     class Seen(ordered.InOrder):
         row, own, out = "s double", "n long", "place long, s double"
